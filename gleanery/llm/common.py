@@ -38,3 +38,30 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: the lineage ends in files that outlive an executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+#: Rows of one key that one task may pair with the key's other rows.
+HOT_ROWS = 20_000
+
+
+def pairs_of_groups(rows: DataFrame, keys: list[str], id_col: str, differs: str | None = None) -> DataFrame:
+    """Pairs (``keys``, id_a < id_b) of rows with equal keys, each once.
+
+    ``differs`` names a column whose values must differ within a pair. A key with
+    more than HOT_ROWS rows is salted: its left side is spread over n/HOT_ROWS
+    tasks, its right side goes to each of them. ``rows`` is used three times, so
+    it should be a table or checkpoint. Null keys pair with nothing; rows that
+    agree in keys, id and ``differs`` count once.
+    """
+    from pyspark.sql import functions as F
+
+    cols = [*keys, id_col, *([differs] if differs else [])]
+    rows = rows.select(*cols).dropDuplicates(cols)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
+    rows = rows.join(sizes, keys).withColumn("_s", F.ceil(F.col("_n") / HOT_ROWS).cast("int"))
+    a = rows.select(*keys, F.col(id_col).alias("_a"), *([F.col(differs).alias("_da")] if differs else []), F.expr(f"cast(pmod(xxhash64({id_col}), _s) as int)").alias("_salt"))
+    b = rows.select(*keys, F.col(id_col).alias("_b"), *([F.col(differs).alias("_db")] if differs else []), F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_salt"))
+    both = a.join(b, [*keys, "_salt"]).where(F.col("_a") < F.col("_b"))
+    if differs:
+        both = both.where(F.col("_da") != F.col("_db")).dropDuplicates([*keys, "_a", "_b"])
+    return both.select(*keys, F.col("_a").alias("id_a"), F.col("_b").alias("id_b"))

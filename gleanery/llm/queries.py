@@ -3,12 +3,42 @@
 from __future__ import annotations
 
 from .common import table
+from .formatting import collapse, copy_pairs
+from .incremental import repeats
+from .skeleton import alike_classes, alike_pairs, read_forms
 from .tokens import encode_corpus
 
+READ_FIELDS = ["name", "address", "telephone"]
+COPIES = {"texts": ["name", "normalized_name", "telephone"], "urls": ["canonical_url"], "jsons": ["data_json"], "scope": ["job_id"]}
+
+
+def p4_found(spark, sf_dir):
+    return repeats(table(spark, sf_dir, "entity_candidates"), table(spark, sf_dir, "entities"), table(spark, sf_dir, "discovered_urls"))
+
+
+def p5_found(spark, sf_dir):
+    return alike_pairs(table(spark, sf_dir, "entities"), READ_FIELDS)
+
+
+def p5_forms(spark, sf_dir):
+    return read_forms(table(spark, sf_dir, "entities"), READ_FIELDS)
+
+
+def p5_classes(spark, sf_dir):
+    return alike_classes(table(spark, sf_dir, "entities"), READ_FIELDS)
+
+
+def p6_found(spark, sf_dir):
+    return copy_pairs(table(spark, sf_dir, "entities"), "entity_id", **COPIES)
+
+
+def p6_collapsed(spark, sf_dir):
+    return collapse(table(spark, sf_dir, "entities"), "entity_id", **COPIES)
+
 
 def p7_ids(spark, sf_dir):
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids}
+QUERIES = {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 SQL: dict[str, str] = {}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .addresses import holders_of, place_pairs, places
+from .boilerplate import main_lines
 from .common import table
 from .formatting import collapse, copy_pairs
 from .incremental import repeats
+from .skyline import best_records, current_values
 from .skeleton import alike_classes, alike_pairs, read_forms
 from .tokens import encode_corpus
 
@@ -12,6 +15,30 @@ READ_FIELDS = ["name", "address", "telephone"]
 COPIES = {"texts": ["name", "normalized_name", "telephone"], "urls": ["canonical_url"], "jsons": ["data_json"], "scope": ["job_id"]}
 
 
+def p1_found(spark, sf_dir):
+    return current_values(*(table(spark, sf_dir, t) for t in ("entity_clusters", "entities", "extracted_records")))
+
+
+def p1_best(spark, sf_dir):
+    return best_records(*(table(spark, sf_dir, t) for t in ("entity_clusters", "entities", "extracted_records")))
+
+
+def p2_found(spark, sf_dir):
+    return place_pairs(table(spark, sf_dir, "entities"), table(spark, sf_dir, "extracted_records"))
+
+
+def p2_places(spark, sf_dir):
+    return places(holders_of(table(spark, sf_dir, "entities"), table(spark, sf_dir, "extracted_records")))
+
+
+def p3_found(spark, sf_dir):
+    return main_lines(table(spark, sf_dir, "fetch_results")).select("fetch_id", "line_no")
+
+
+def p3_text(spark, sf_dir):
+    return main_lines(table(spark, sf_dir, "fetch_results"))
+
+
 def p4_found(spark, sf_dir):
     return repeats(table(spark, sf_dir, "entity_candidates"), table(spark, sf_dir, "entities"), table(spark, sf_dir, "discovered_urls"))
 

@@ -7,6 +7,7 @@ from .boilerplate import main_lines
 from .common import table
 from .formatting import collapse, copy_pairs
 from .incremental import repeats
+from .pii import find_items, redact
 from .skyline import best_records, current_values
 from .skeleton import alike_classes, alike_pairs, read_forms
 from .tokens import encode_corpus
@@ -67,5 +68,13 @@ def p7_ids(spark, sf_dir):
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p9_found(spark, sf_dir):
+    return find_items(table(spark, sf_dir, "documents"))
+
+
+def p9_redacted(spark, sf_dir):
+    return redact(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 SQL: dict[str, str] = {}

@@ -7,6 +7,7 @@ from .boilerplate import main_lines
 from .common import table
 from .formatting import collapse, copy_pairs
 from .incremental import repeats
+from .packing import fill_report, pack
 from .pii import find_items, redact
 from .skyline import best_records, current_values
 from .skeleton import alike_classes, alike_pairs, read_forms
@@ -68,6 +69,14 @@ def p7_ids(spark, sf_dir):
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p8_packed(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_containers"))
+
+
+def p8_report(spark, sf_dir):
+    return fill_report(p8_packed(spark, sf_dir), table(spark, sf_dir, "pack_containers"))
+
+
 def p9_found(spark, sf_dir):
     return find_items(table(spark, sf_dir, "documents"))
 

@@ -54,35 +54,43 @@ _S = r"(?:[^\S\n]+(?:\r?\n)?[^\S\n]*|\r?\n[^\S\n]*)"
 _W = rf"[{_UP}][\w­]*(?:[’'](?!s\b)[\w­]+|-[\w­]+)*"
 _PART = "(?:" + "|".join(p.replace(" ", r"\s+") for p in PARTICLES) + ")"
 _TOK = rf"(?:[{_UP}]\.(?:-[{_UP}]\.)?|{_W})"
-_ISLAND = re.compile(rf"(?<![\w­@])(?:{_PART}{_S}){{0,3}}{_TOK}(?:(?:(?<=[A-ZÀ-Þ]{{2}}),)?{_S}(?:{_PART}{_S}){{0,3}}{_TOK}|(?:(?<=\bDr)|(?<=\bMr)|(?<=\bSr)|(?<=\bMs)|(?<=mo)|(?<=ma)|(?<=ra)|(?<=ña)|(?<=rof)|(?<=me))\.{_S}(?:{_PART}{_S}){{0,3}}{_TOK})*")
+# Starts at a capital, so that the scan can skip to one; particles before it are looked for afterwards.
+_ISLAND = re.compile(rf"{_TOK}(?:(?:(?<=[A-ZÀ-Þ]{{2}}),)?{_S}(?:{_PART}{_S}){{0,3}}{_TOK}|(?:(?<=\bDr)|(?<=\bMr)|(?<=\bSr)|(?<=\bMs)|(?<=mo)|(?<=ma)|(?<=ra)|(?<=ña)|(?<=rof)|(?<=me))\.{_S}(?:{_PART}{_S}){{0,3}}{_TOK})*")
+_LEAD = re.compile(rf"(?<![\w­@])(?:{_PART}{_S}){{1,3}}$")
+_PART_ENDS = {p.split()[-1] for p in PARTICLES}
 _TOKEN = re.compile(rf"[{_UP}]\.(?:-[{_UP}]\.)?|[\w­]+(?:[’'-][\w­]+)*")
 _WORDS = re.compile(r"[\w­]+|[^\w\s]")
 
-_AT = re.compile(r"\s?@\s?|\s?[\[(]at[\])]\s?", re.I)
+_AT = re.compile(r"@|[\[(][Aa][Tt][\])]")
 _LOCAL = re.compile(r"(?<![\w.+%-])[\w+%-][\w.+%-]*$")
 _HOST = re.compile(r"\w[\w-]*(?:(?:\.|\s?[\[(](?:dot|punkt|punto|point)[\])]\s?)\w[\w-]*)+", re.I)
-_BLOB = re.compile(r"(?<![\w@#€$£])(?:[A-Z]{1,3}(?:[ \xa0-]|\r?\n)?)?[+(]?\d(?:[\d()\-/‐-–\xa0 \t]|\.(?=\d)|\r?\n(?=\d)){2,24}[\dA-Z](?:\d{1,4}|(?:[ -]|\r?\n)?[A-Z])?(?![\w@’'])|(?<![\w@])\d{5,}(?:[ -]?[A-Z]\d{0,4})?(?![\w@’'])")
-_DATE = re.compile(r"(?:\d{4}-\d\d-\d\d|\d{1,2}\.\d{1,2}\.\d{4})(?!\d)")
+# Starts at a digit or its opening mark, so that the scan can skip to one; letters before it are looked for afterwards.
+_BLOB = re.compile(r"[+(0-9](?:[\d()\-/‐-–\xa0 \t]|\.(?=\d)|\r?\n(?=\d)){3,24}[\dA-Z](?:\d{1,4}|(?:[ -]|\r?\n)?[A-Z])?(?![\w@’'])|[0-9]{5,}(?:[ -]?[A-Z]\d{0,4})?(?![\w@’'])")
+_BLOB_HEAD = re.compile(r"(?<![\w@#€$£])[A-Z]{1,3}(?:[ \xa0-]|\r?\n)?$")
+_DATE = re.compile(r"(?:\d{4}-\d\d-\d\d|\d{1,2}\.\d{1,2}\.\d{4})(?!\d)|\d{1,3}\.\d{3}$")
 _TOWN = rf"{_W}(?:{_S}{_W})?"
 _POST = rf"[A-Z]{{1,2}}\d{{1,2}}[A-Z]?{_S}?\d[A-Z]{{2}}"
 _TAIL = rf"(?:,{_S}\d{{5}}{_S}{_W}|{_S}in{_S}\d{{5}}{_S}{_W})?"
 # Each pattern starts at what is rare, a number or a fixed word; what may stand before it is looked for afterwards.
-_FROM_NUMBER = re.compile(
-    rf"(?<![\w.,/-])\d{{1,4}}(?:[a-z]?{_S}(?:{_W}{_S}){{1,2}}?(?:{EN_STREET})\b(?:\.(?=,|{_S}[A-Z]{{2}}\d))?(?:,?{_S}(?:{_W},?{_S}{_POST}|{_POST})|,{_S}{_W}(?=[\s,.;:]))?"
-    rf"|(?:{_S}(?:bis|ter|quater)\b)?,?{_S}(?:{FR_STREET}){_S}(?:(?:de la|de|du|des|d'){_S}?)?{_W}(?:,{_S}\d{{5}}{_S}{_W}|{_S}à{_S}{_W})?)"
+_EN_NUMBER = re.compile(
+    rf"[0-9]{{1,4}}[a-z]?{_S}(?:{_W}{_S}){{1,2}}?(?:{EN_STREET})\b(?:\.(?=,|{_S}[A-Z]{{2}}\d))?(?:,?{_S}(?:{_W},?{_S}{_POST}|{_POST})|,{_S}{_W}(?=[\s,.;:]))?"
 )
+_FR_NUMBER = re.compile(rf"[0-9]{{1,4}}(?:{_S}(?:bis|ter|quater)\b)?,?{_S}(?:{FR_STREET}){_S}(?:(?:de la|de|du|des|d'){_S}?)?{_W}(?:,{_S}\d{{5}}{_S}{_W}|{_S}à{_S}{_W})?")
 _BEFORE_NUMBER = re.compile(rf"(?:(?:Flat|Unit|Apt\.?){_S}\d+[a-z]?,{_S}|{_W}{_S}House,{_S})$")
 _DE_END = re.compile(rf"(?:{DE_STREET}){_S}\d{{1,4}}(?:{_S}?[a-z]\b)?{_TAIL}")
 _DE_START = re.compile(rf"{_W}$")
-_FROM_WORD = re.compile(
-    rf"\b(?:Am|An der|Im|In der|Zum|Zur|Auf der){_S}{_W}{_S}\d{{1,4}}(?:{_S}?[a-z]\b)?{_TAIL}"
-    rf"|(?:\b(?:Calle|Avda\.|Avenida|Plaza|Paseo|Camino|Ronda|Travesía){_S}|\bC/{_S}?)(?:de{_S}(?:la{_S})?)?{_W},?{_S}(?:n\.?º{_S}?)?\d{{1,4}}(?:,{_S}\d{{1,2}}º(?:{_S}[A-Z]\b)?)?(?:,{_S}\d{{5}}{_S}{_W}|,{_S}{_W})?"
-)
-_REPORT = re.compile(rf",?\s*(?:\[(?:1[89]|20)\d\d\]\s+\d+\s+[A-Z][\w ]{{0,12}}?\s+\d+|\((?:1[89]|20)\d\d\)\s+\d+\s+[A-Z][\w ]{{0,12}}?\s+\d+|,\s*(?:1[89]|20)\d\d\s+[A-Z]{{2,}}\s+\d+)")
+_DE_WORD = re.compile(rf"(?:Am|An der|Im|In der|Zum|Zur|Auf der){_S}{_W}{_S}\d{{1,4}}(?:{_S}?[a-z]\b)?{_TAIL}")
+_ES_WORD = re.compile(rf"(?:Calle{_S}|Avda\.{_S}|Avenida{_S}|Plaza{_S}|Paseo{_S}|Camino{_S}|Ronda{_S}|Travesía{_S}|C/{_S}?)(?:de{_S}(?:la{_S})?)?{_W},?{_S}(?:n\.?º{_S}?)?\d{{1,4}}(?:,{_S}\d{{1,2}}º(?:{_S}[A-Z]\b)?)?(?:,{_S}\d{{5}}{_S}{_W}|,{_S}{_W})?")
+# A text without any of these words is not searched for that form of address.
+_NEEDS = {
+    "en": tuple(EN_STREET.split("|")), "fr": tuple(FR_STREET.split("|")), "de": ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ring", "damm", "ufer"),
+    "de_word": ("Am", "An der", "Im", "In der", "Zum", "Zur", "Auf der"), "es": tuple(w.replace("\\", "") for w in ES_STREET.split("|")),
+}
+_REPORT = re.compile(r"[\[(](?:1[89]|20)\d\d[\])]\s+\d+\s+[A-Z][\w ]{0,12}?\s+\d+|(?:1[89]|20)\d\d\s+[A-Z]{2,}\s+\d+")
 _PARTY = rf"(?:{_PART}{_S}){{0,3}}{_W}(?:{_S}(?:(?:&|y|{_PART}){_S}){{0,3}}(?:{_W}|[A-Z]\.(?:{_S}?[A-Z]\.)?)){{0,5}}\.?"
 _VERSUS = re.compile(rf"{_S}(?:v\.?|c\.|\./\.){_S}|\bRe{_S}")
 _PARTY_END, _PARTY_ALL = re.compile(rf"{_PARTY}$"), re.compile(rf"{_PARTY}$")
-_FIRM_END = re.compile(rf"{_S}(?:&{_S}(?:Daughters|Sons|Fils|Söhne|Co\.|Cía\.)(?:{_S}(?:Ltd|LLP|KG|plc)\b)?|y{_S}Cía\.?|(?:Ltd|LLP|plc|Inc|Holdings|Haulage|GmbH|AG|KG|eG|SARL|SAS|SA|Transports|Hermanos|Bau|S\.{_S}?A\.|S\.{_S}?L\.|S\.{_S}Coop\.)(?!\w)(?:{_S}(?:Ltd|LLP|plc|GmbH|AG|SARL|SAS|SA|S\.{_S}?L\.|S\.{_S}?A\.)(?!\w))?)")
+_FIRM_END = re.compile(rf"\s(?:&{_S}(?:Daughters|Sons|Fils|Söhne|Co\.|Cía\.)(?:{_S}(?:Ltd|LLP|KG|plc)\b)?|y{_S}Cía\.?|(?:Ltd|LLP|plc|Inc|Holdings|Haulage|GmbH|AG|KG|eG|SARL|SAS|SA|Transports|Hermanos|Bau|S\.{_S}?A\.|S\.{_S}?L\.|S\.{_S}Coop\.)(?!\w)(?:{_S}(?:Ltd|LLP|plc|GmbH|AG|SARL|SAS|SA|S\.{_S}?L\.|S\.{_S}?A\.)(?!\w))?)")
 _FIRM_START = re.compile(rf"(?<![\w-]){_W}(?:{_S}(?:&{_S})?{_W}){{0,3}}$")
 
 
@@ -110,6 +118,7 @@ def level(text: str) -> str:
     return text.translate(_ALIKE) if _FOREIGN.search(text) else text
 
 
+@lru_cache(maxsize=1 << 18)
 def _norm(word: str) -> str:
     return unicodedata.normalize("NFKC", word).replace("­", "").lower()
 
@@ -195,34 +204,57 @@ def patterns(text: str) -> list[tuple[int, int, str]]:
     out = []
     if "@" in text or "at]" in text or "at)" in text:
         for m in _AT.finditer(text):
-            local, host = _LOCAL.search(text[max(0, m.start() - 80) : m.start()]), _HOST.match(text, m.end())
+            a, b = m.span()
+            a -= a > 0 and text[a - 1].isspace()
+            b += b < len(text) and text[b].isspace()
+            local, host = _LOCAL.search(text[max(0, a - 80) : a]), _HOST.match(text, b)
             if local and host and not host[0][0].isdigit():
-                out.append((m.start() - len(local[0]), host.end(), "email"))
+                out.append((a - len(local[0]), host.end(), "email"))
     for m in _BLOB.finditer(text):
         a, b = m.span()
-        n = sum(map(str.isdigit, m[0]))
-        if n < 6 or _DATE.match(m[0]):
+        own = m[0]
+        if _DATE.match(own):
+            continue
+        n = sum(map(str.isdigit, own))
+        if n < 6:
+            continue
+        if a and (text[a - 1].isalnum() or text[a - 1] in "@#€$£_ \xa0-\n"):
+            head = _BLOB_HEAD.search(text[max(0, a - 6) : a])
+            if head:
+                a -= len(head[0])
+            elif text[a - 1] not in " \xa0-\n":
+                continue
+        if n < 8 and text[a].isdigit() and own.isdigit():
             continue
-        if n <= 16 and not m[0][0].isalpha():
-            e = b - (1 if m[0][-1].isalpha() else 0)
+        if n <= 16 and not text[a].isalpha():
+            e = b - (1 if own[-1].isalpha() else 0)
             s = text[a:e].rstrip(" (./-\xa0")
             out.append((a, a + len(s), "phone"))
             if s.count("(") < s.count(")") and s[0].isdigit() and a and text[a - 1] == "(":
                 out.append((a - 1, a + len(s), "phone"))
-        if not set("(+") & set(m[0]):
+        if "(" not in own and "+" not in own:
             out.append((a, b, "id_number"))
-            if m[0][-1].isalpha() and m[0][-2] in " -\xa0" and text[b : b + 1].islower():
+            if own[-1].isalpha() and own[-2] in " -\xa0" and text[b : b + 1].islower():
                 out.append((a, b - 2, "id_number"))
-    for m in _FROM_NUMBER.finditer(text):
-        before = _BEFORE_NUMBER.search(text[max(0, m.start() - 40) : m.start()])
-        out.append((m.start() - (len(before[0]) if before else 0), m.end(), "address"))
-    for m in _DE_END.finditer(text):
+    needed = {k: any(w in text for w in words) for k, words in _NEEDS.items()}
+    for kind, pattern in (("en", _EN_NUMBER), ("fr", _FR_NUMBER)):
+        for m in pattern.finditer(text) if needed[kind] else ():
+            a = m.start()
+            if a and (text[a - 1].isalnum() or text[a - 1] in "_.,/-"):
+                continue
+            before = _BEFORE_NUMBER.search(text[max(0, a - 40) : a])
+            out.append((a - (len(before[0]) if before else 0), m.end(), "address"))
+    for m in _DE_END.finditer(text) if needed["de"] else ():
         if w := _DE_START.search(text[max(0, m.start() - 30) : m.start() + 1]):
             out.append((m.start() + 1 - len(w[0]), m.end(), "address"))
-    out += [(m.start(), m.end(), "address") for m in _FROM_WORD.finditer(text)]
+    for kind, pattern in (("de_word", _DE_WORD), ("es", _ES_WORD)):
+        out += [(m.start(), m.end(), "address") for m in pattern.finditer(text) if not (m.start() and text[m.start() - 1].isalnum())] if needed[kind] else []
     for m in _REPORT.finditer(text):
         lo = max(0, m.start() - 160)
-        part = text[lo : m.start()]
+        part = text[lo : m.start()].rstrip()
+        if m[0][0].isdigit() and part[-1:] != ",":
+            continue
+        part = part.removesuffix(",").rstrip()
         versus = None
         for v in _VERSUS.finditer(part):
             if _PARTY_ALL.fullmatch(part, v.end()):
@@ -235,7 +267,10 @@ def patterns(text: str) -> list[tuple[int, int, str]]:
         else:
             out.append((m.start(), m.end(), "citation"))
     for m in _FIRM_END.finditer(text):
-        if (a := _back(_FIRM_START, text, m.start(), 60)) is not None:
+        e = m.start()
+        while e and text[e - 1].isspace():
+            e -= 1
+        if e and text[e - 1].isalnum() and (a := _back(_FIRM_START, text, e, 60)) is not None:
             out.append((a, m.end(), "company"))
     return sorted(out)
 
@@ -283,15 +318,42 @@ def name_spans(tokens: list[str], stop: set[str] = frozenset()) -> list[tuple[in
     return out
 
 
+def runs(text: str, stop: set[str] = frozenset()) -> Iterator[tuple[int, int]]:
+    """Places of runs of capitalised words, with the particles before them; single stop words are left out."""
+    for m in _ISLAND.finditer(text):
+        a, b = m.span()
+        if a and ((c := text[a - 1]).isalnum() or c in "_@\xad"):
+            t = _TOKEN.search(text, a, b)  # a capital inside a word; the run goes on after it
+            nxt = t and _TOKEN.search(text, t.end(), b)
+            if not nxt:
+                continue
+            a = nxt.start()
+        if m[0] in stop:
+            continue
+        if a > 1 and text[a - 1].isspace() and text[max(0, a - 12) : a].split()[-1:] and text[max(0, a - 12) : a].split()[-1] in _PART_ENDS:
+            if lead := _LEAD.search(text, max(0, a - 30), a):
+                a = lead.start()
+        yield a, b
+
+
+_DEAD: dict[str, bool] = {}
+
+
 def islands(text: str, taken: list[tuple[int, int]], stop: set[str] = frozenset()) -> Iterator[tuple[list[tuple[int, int]], list[str], tuple[str, str], str]]:
     """(places, tokens, words before, word after) of runs of capitalised words outside ``taken``."""
     k = 0
-    for m in _ISLAND.finditer(text):
-        a, b = m.span()
+    for a, b in runs(text, stop):
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if m[0] in stop:
-            continue
+        if stop:  # a run of stop words, particles and initials only is no island
+            own = text[a:b]
+            dead = _DEAD.get(own)
+            if dead is None:
+                dead = all(t in stop or t[0].islower() or t[-1] == "." for t in _TOKEN.findall(own))
+                if len(_DEAD) < MEMO:
+                    _DEAD[own] = dead
+            if dead:
+                continue
         at = [t.span() for t in _TOKEN.finditer(text, a, b)]
         q = k
         while q < len(taken) and taken[q][0] < b:
@@ -313,6 +375,21 @@ class Decoder:
     def __init__(self, w: dict[str, float]):
         self.w, self.memo, self.word_scores = w, {}, {}
         self.stop = {f[1:] for f in w if f[0] == "!"}
+        # The weights of names again, by what they look up.
+        by_shape, left, left2, right, shape_left, left_right = ({} for _ in range(6))
+        for f, v in w.items():
+            kind, _, x = f.partition("=")
+            if kind == "N:s":
+                own, comma, l1 = x.partition(",l=")
+                (shape_left.__setitem__((own, l1), v) if comma else by_shape.__setitem__(own, v))
+            elif kind == "N:l":
+                l1, comma, r1 = x.partition(",r=") if x != ",r=" and not x.startswith(",,r=") else (",", ",r=" if x.startswith(",,r=") else "", x[4:])
+                (left_right.__setitem__((l1, r1), v) if comma else left.__setitem__(l1, v))
+            elif kind == "N:ll":
+                left2[tuple(x.split(" ", 1))] = v
+            elif kind == "N:r":
+                right[x] = v
+        self.tables = (w.get("N", 0.0), by_shape, left, left2, right, shape_left, left_right, w.get("N:capbefore", 0.0), w.get("N:capafter", 0.0))
 
     def word_score(self, word: str) -> float:
         got = self.word_scores.get(word)
@@ -327,20 +404,56 @@ class Decoder:
         key = (before, *tokens, after)
         got = self.memo.get(key)
         if got is None:
-            get = self.w.get
-            low, shape = [_norm(t) for t in tokens], shape_of(tokens)
-            sums = [0.0]
-            for t, c in zip(tokens, shape):
-                sums.append(sums[-1] + (self.word_score(t) if c in "CU" else 0.0))
-            spans = [(i, j, sums[j] - sums[i] + sum([get(f, 0.0) for f in span_features(low, shape, i, j, before, after)]), (i, j)) for i, j in name_spans(tokens, self.stop)]
-            got = _viterbi(len(tokens), spans)
+            got = self.decode(tokens, before, after)
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[key] = got
         return got
 
-    def blob_score(self, text: str, a: int, b: int, kind: str) -> float:
-        key = blob_key(kind, text, a, b)
+    def decode(self, tokens: list[str], before: tuple[str, str], after: str) -> list[tuple[int, int]]:
+        """Best segmentation of an island; scores are those of ``span_features`` and ``word_features``."""
+        low, shape = [_norm(t) for t in tokens], shape_of(tokens)
+        n = len(tokens)
+        sums = [0.0]
+        for t, c in zip(tokens, shape):
+            sums.append(sums[-1] + (self.word_score(t) if c in "CU" else 0.0))
+        bias, by_shape, left, left2, right, shape_left, left_right, cap_before, cap_after = self.tables
+        best, back = [0.0] * (n + 1), [None] * (n + 1)
+        spans: dict[int, list[tuple[int, float]]] = {}
+        for i, j in name_spans(tokens, self.stop):
+            own = shape[i:j]
+            l1 = low[i - 1] if i else before[1]
+            l2 = low[i - 2] if i > 1 else before[1] if i == 1 else before[0]
+            r1 = low[j] if j < n else after
+            score = sums[j] - sums[i] + bias + by_shape.get(own, 0.0) + left.get(l1, 0.0) + left2.get((l2, l1), 0.0) + right.get(r1, 0.0) + shape_left.get((own, l1), 0.0) + left_right.get((l1, r1), 0.0)
+            if i and shape[i - 1] != "P":
+                score += cap_before
+            if j < n:
+                score += cap_after
+            if score > 0:
+                spans.setdefault(j, []).append((i, score))
+        if not spans:
+            return []
+        for e in range(1, n + 1):
+            best[e] = best[e - 1]
+            for i, score in spans.get(e, ()):
+                if best[i] + score > best[e]:
+                    best[e], back[e] = best[i] + score, i
+        out, e = [], n
+        while e > 0:
+            if back[e] is None:
+                e -= 1
+            else:
+                out.append((back[e], e))
+                e = back[e]
+        return out[::-1]
+
+    def blob_score(self, text: str, a: int, b: int, kind: str, near: dict) -> float:
+        left = near.get(a) or near.setdefault(a, _left(text, a))
+        right = near.get(-b)
+        if right is None:
+            right = near[-b] = _right(text, b)
+        key = (kind, *left, right, mask(text[a:b]) if kind in ("phone", "id_number") else "")
         got = self.memo.get(key)
         if got is None:
             got = self.memo[key] = sum(self.w.get(f, 0.0) for f in blob_features(*key))
@@ -349,6 +462,7 @@ class Decoder:
     def fixed(self, text: str) -> list[tuple[int, int, str]]:
         """Pattern items chosen together: the best disjoint set of all proposals."""
         found = patterns(text)
+        near: dict = {}
         out, group, end = [], [], -1
         for s in [*found, (len(text) + 1, len(text) + 2, "")]:
             if group and s[0] >= end:
@@ -356,7 +470,7 @@ class Decoder:
                 if len(group) == 1 and group[0][2] in ("citation", "company", "email"):
                     out.append(group[0])
                 else:
-                    spans = [(a - base, b - base, {"email": 8.0, "citation": 9.0, "company": 3.0}.get(k) or self.blob_score(text, a, b, k), (a, b, k)) for a, b, k in group]
+                    spans = [(a - base, b - base, {"email": 8.0, "citation": 9.0, "company": 3.0}.get(k) or self.blob_score(text, a, b, k, near), (a, b, k)) for a, b, k in group]
                     out += _viterbi(end - base, spans)
                 group = []
             if s[2]:
@@ -379,6 +493,12 @@ class Decoder:
         return sorted(out, key=lambda x: x[1])
 
 
+@lru_cache(maxsize=1)
+def shared_decoder() -> Decoder:
+    """A worker's decoder, kept from task to task."""
+    return Decoder(weights())
+
+
 # ---- fitting ----
 
 # Forms of address, and words of the parties' line, before a name.
@@ -395,24 +515,24 @@ def lexicon(texts: Iterable[str], rounds: int = 3) -> set[str]:
 
     Words also seen without a capital, forms of address and courts are left out.
     """
-    strong, lower, runs, led = Counter(), Counter(), Counter(), Counter()
+    strong, lower, found, led = Counter(), Counter(), Counter(), Counter()
     for text in texts:
         for m in STRONG.finditer(text):
             strong.update(_norm(t) for t in _TOKEN.findall(m[1]) if len(t) > 2 and not t.islower())
         lower.update(re.findall(r"(?<![\w’'@.+-])[a-zà-ÿ]{3,}(?![\w’'@+-]|\.\w)", text))
         led.update(_norm(w) for w in _LED.findall(text))
-        for m in _ISLAND.finditer(text):
-            run = tuple(_norm(t) for t in _TOKEN.findall(m[0]) if not t.islower())
-            runs[run] += 1
+        for a, b in runs(text):
+            run = tuple(_norm(t) for t in _TOKEN.findall(text, a, b) if not t.islower())
+            found[run] += 1
     total = Counter()
-    for run, n in runs.items():
+    for run, n in found.items():
         for w in run:
             total[w] += n
     barred = lambda w: max(lower[w], led[w]) > 0.2 * total[w] or w in _TITLE_WORDS or w in _NOT_NAMES or len(w) < 3 or not w[0].isalpha() or any(c.isdigit() for c in w)
     words = {w for w, n in strong.items() if n >= 2 and n >= 0.15 * total[w] and not barred(w)}
     for _ in range(rounds):
         beside = Counter()
-        for run, n in runs.items():
+        for run, n in found.items():
             for k, w in enumerate(run):
                 near = run[max(0, k - 2) : k] + run[k + 1 : k + 3]
                 if any(x in words for x in near) or (k and run[k - 1] in _TITLE_WORDS):
@@ -552,7 +672,7 @@ def find_items(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(weights())
+        decoder = shared_decoder()
         for b in batches:
             at, kinds, starts, ends = [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
@@ -570,7 +690,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(weights())
+        decoder = shared_decoder()
         for b in batches:
             out = []
             for t in b.column(1).to_pylist():

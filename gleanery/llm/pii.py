@@ -76,6 +76,7 @@ _EN_NUMBER = re.compile(
     rf"[0-9]{{1,4}}[a-z]?{_S}(?:{_W}{_S}){{1,2}}?(?:{EN_STREET})\b(?:\.(?=,|{_S}[A-Z]{{2}}\d))?(?:,?{_S}(?:{_W},?{_S}{_POST}|{_POST})|,{_S}{_W}(?=[\s,.;:]))?"
 )
 _FR_NUMBER = re.compile(rf"[0-9]{{1,4}}(?:{_S}(?:bis|ter|quater)\b)?,?{_S}(?:{FR_STREET}){_S}(?:(?:de la|de|du|des|d'){_S}?)?{_W}(?:,{_S}\d{{5}}{_S}{_W}|{_S}à{_S}{_W})?")
+_NUMBER = re.compile("[0-9]+")
 _BEFORE_NUMBER = re.compile(rf"(?:(?:Flat|Unit|Apt\.?){_S}\d+[a-z]?,{_S}|{_W}{_S}House,{_S})$")
 _DE_END = re.compile(rf"(?:{DE_STREET}){_S}\d{{1,4}}(?:{_S}?[a-z]\b)?{_TAIL}")
 _DE_START = re.compile(rf"{_W}$")
@@ -125,7 +126,7 @@ def _norm(word: str) -> str:
 
 def _left(text: str, at: int) -> tuple[str, str]:
     """The two words or marks before a place."""
-    got = _WORDS.findall(text[max(0, at - 40) : at])[-2:]
+    got = _WORDS.findall(" ".join(text[max(0, at - 40) : at].rsplit(None, 2)[-2:]))[-2:]
     got = ["9" if w[0].isdigit() else _norm(w) for w in got]
     return (("", "", *got)[-2], ("", *got)[-1]) if got else ("", "")
 
@@ -199,6 +200,19 @@ def blob_features(kind: str, l2: str, l1: str, r: str, m: str) -> list[str]:
 # ---- candidates ----
 
 
+def places(text: str, word: str) -> Iterator[int]:
+    at = text.find(word)
+    while at >= 0:
+        yield at
+        at = text.find(word, at + 1)
+
+
+def _numbers_before(text: str, at: int) -> list[int]:
+    """Starts of the numbers shortly before a word of a street."""
+    lo = max(0, at - 44)
+    return [lo + m.start() for m in _NUMBER.finditer(text[lo:at]) if lo + m.start() == 0 or not (text[lo + m.start() - 1].isalnum() or text[lo + m.start() - 1] in "_.,/-")]
+
+
 def patterns(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what the patterns propose, sorted."""
     out = []
@@ -237,13 +251,12 @@ def patterns(text: str) -> list[tuple[int, int, str]]:
             if own[-1].isalpha() and own[-2] in " -\xa0" and text[b : b + 1].islower():
                 out.append((a, b - 2, "id_number"))
     needed = {k: any(w in text for w in words) for k, words in _NEEDS.items()}
-    for kind, pattern in (("en", _EN_NUMBER), ("fr", _FR_NUMBER)):
-        for m in pattern.finditer(text) if needed[kind] else ():
-            a = m.start()
-            if a and (text[a - 1].isalnum() or text[a - 1] in "_.,/-"):
-                continue
-            before = _BEFORE_NUMBER.search(text[max(0, a - 40) : a])
-            out.append((a - (len(before[0]) if before else 0), m.end(), "address"))
+    for words, pattern in (("en", _EN_NUMBER), ("fr", _FR_NUMBER)):
+        for a in sorted({x for w in _NEEDS[words] for at in places(text, w) for x in _numbers_before(text, at)}) if needed[words] else ():
+            m = pattern.match(text, a)
+            if m:
+                before = _BEFORE_NUMBER.search(text[max(0, a - 40) : a])
+                out.append((a - (len(before[0]) if before else 0), m.end(), "address"))
     for m in _DE_END.finditer(text) if needed["de"] else ():
         if w := _DE_START.search(text[max(0, m.start() - 30) : m.start() + 1]):
             out.append((m.start() + 1 - len(w[0]), m.end(), "address"))
@@ -337,6 +350,7 @@ def runs(text: str, stop: set[str] = frozenset()) -> Iterator[tuple[int, int]]:
 
 
 _DEAD: dict[str, bool] = {}
+_CUT: dict[str, list[tuple[int, int]]] = {}
 
 
 def islands(text: str, taken: list[tuple[int, int]], stop: set[str] = frozenset()) -> Iterator[tuple[list[tuple[int, int]], list[str], tuple[str, str], str]]:
@@ -354,7 +368,16 @@ def islands(text: str, taken: list[tuple[int, int]], stop: set[str] = frozenset(
                     _DEAD[own] = dead
             if dead:
                 continue
-        at = [t.span() for t in _TOKEN.finditer(text, a, b)]
+        own = text[a:b]
+        cut = _CUT.get(own)
+        if cut is None:
+            cut = [t.span() for t in _TOKEN.finditer(own)]
+            if len(_CUT) < MEMO:
+                _CUT[own] = cut
+        if k >= len(taken) or taken[k][0] >= b:  # nothing taken out of it
+            yield [(a + x, a + y) for x, y in cut], [own[x:y] for x, y in cut], _left(text, a + cut[0][0]), _right(text, a + cut[-1][1])
+            continue
+        at = [(a + x, a + y) for x, y in cut]
         q = k
         while q < len(taken) and taken[q][0] < b:
             at = [x for x in at if x[1] <= taken[q][0] or x[0] >= taken[q][1]]
@@ -412,12 +435,19 @@ class Decoder:
 
     def decode(self, tokens: list[str], before: tuple[str, str], after: str) -> list[tuple[int, int]]:
         """Best segmentation of an island; scores are those of ``span_features`` and ``word_features``."""
-        low, shape = [_norm(t) for t in tokens], shape_of(tokens)
+        bias, by_shape, left, left2, right, shape_left, left_right, cap_before, cap_after = self.tables
         n = len(tokens)
+        if n == 1:
+            t = tokens[0]
+            if t in self.stop or t.islower() or t[-1] == "." or any(map(str.isdigit, t)):
+                return []
+            own, (l2, l1) = shape_of(tokens), before
+            score = self.word_score(t) + bias + by_shape.get(own, 0.0) + left.get(l1, 0.0) + left2.get(before, 0.0) + right.get(after, 0.0) + shape_left.get((own, l1), 0.0) + left_right.get((l1, after), 0.0)
+            return [(0, 1)] if score > 0 else []
+        low, shape = [_norm(t) for t in tokens], shape_of(tokens)
         sums = [0.0]
         for t, c in zip(tokens, shape):
             sums.append(sums[-1] + (self.word_score(t) if c in "CU" else 0.0))
-        bias, by_shape, left, left2, right, shape_left, left_right, cap_before, cap_after = self.tables
         best, back = [0.0] * (n + 1), [None] * (n + 1)
         spans: dict[int, list[tuple[int, float]]] = {}
         for i, j in name_spans(tokens, self.stop):
@@ -471,7 +501,11 @@ class Decoder:
                     out.append(group[0])
                 else:
                     spans = [(a - base, b - base, {"email": 8.0, "citation": 9.0, "company": 3.0}.get(k) or self.blob_score(text, a, b, k, near), (a, b, k)) for a, b, k in group]
-                    out += _viterbi(end - base, spans)
+                    if len(spans) == 1 or len(spans) == 2 and spans[0][:2] == spans[1][:2]:  # one place: the better kind, if any
+                        best = max(spans, key=lambda x: x[2])
+                        out += [best[3]] if best[2] > 0 else []
+                    else:
+                        out += _viterbi(end - base, spans)
                 group = []
             if s[2]:
                 group.append(s)

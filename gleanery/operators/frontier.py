@@ -28,7 +28,7 @@ def after_fetch(queue: DataFrame) -> DataFrame:
     tries = F.col("attempt_count") + 1
     state = F.when(F.col("ok"), "done").when(F.col("blocked"), "skipped").when(tries >= F.col("max_attempts"), "failed").otherwise("queued")
     wait = F.timestamp_micros(F.unix_micros(F.col("now").cast("timestamp")) + (retry_seconds(tries, F.col("retry_after")) * 1_000_000).cast("bigint"))
-    return queue.withColumn("attempt_count", tries).withColumn("status", state).withColumn("next_retry_at", F.when(F.col("status") == "queued", wait))
+    return queue.withColumns({"attempt_count": tries, "status": state, "next_retry_at": F.when(state == "queued", wait)})
 
 
 def stale(queue: DataFrame, as_of: Column, days: int, most: int = 500) -> DataFrame:

@@ -61,7 +61,7 @@ _PART_ENDS = {p.split()[-1] for p in PARTICLES}
 _TOKEN = re.compile(rf"[{_UP}]\.(?:-[{_UP}]\.)?|[\w­]+(?:[’'-][\w­]+)*")
 _WORDS = re.compile(r"[\w­]+|[^\w\s]")
 
-_AT = re.compile(r"@|[\[(][Aa][Tt][\])]")
+_AT = ("@", "[at]", "(at)", "[AT]", "(AT)")
 _LOCAL = re.compile(r"(?<![\w.+%-])[\w+%-][\w.+%-]*$")
 _HOST = re.compile(r"\w[\w-]*(?:(?:\.|\s?[\[(](?:dot|punkt|punto|point)[\])]\s?)\w[\w-]*)+", re.I)
 # Starts at a digit or its opening mark, so that the scan can skip to one; letters before it are looked for afterwards.
@@ -216,9 +216,9 @@ def _numbers_before(text: str, at: int) -> list[int]:
 def patterns(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what the patterns propose, sorted."""
     out = []
-    if "@" in text or "at]" in text or "at)" in text:
-        for m in _AT.finditer(text):
-            a, b = m.span()
+    for mark in _AT:
+        for a in places(text, mark):
+            b = a + len(mark)
             a -= a > 0 and text[a - 1].isspace()
             b += b < len(text) and text[b].isspace()
             local, host = _LOCAL.search(text[max(0, a - 80) : a]), _HOST.match(text, b)
@@ -227,7 +227,7 @@ def patterns(text: str) -> list[tuple[int, int, str]]:
     for m in _BLOB.finditer(text):
         a, b = m.span()
         own = m[0]
-        if _DATE.match(own):
+        if len(own) < 6 or _DATE.match(own):
             continue
         n = sum(map(str.isdigit, own))
         if n < 6:
@@ -334,16 +334,16 @@ def name_spans(tokens: list[str], stop: set[str] = frozenset()) -> list[tuple[in
 def runs(text: str, stop: set[str] = frozenset()) -> Iterator[tuple[int, int]]:
     """Places of runs of capitalised words, with the particles before them; single stop words are left out."""
     for m in _ISLAND.finditer(text):
+        if m[0] in stop:
+            continue
         a, b = m.span()
-        if a and ((c := text[a - 1]).isalnum() or c in "_@\xad"):
+        if a and not (c := text[a - 1]).isspace() and (c.isalnum() or c in "_@\xad"):
             t = _TOKEN.search(text, a, b)  # a capital inside a word; the run goes on after it
             nxt = t and _TOKEN.search(text, t.end(), b)
             if not nxt:
                 continue
             a = nxt.start()
-        if m[0] in stop:
-            continue
-        if a > 1 and text[a - 1].isspace() and text[max(0, a - 12) : a].split()[-1:] and text[max(0, a - 12) : a].split()[-1] in _PART_ENDS:
+        if a > 1 and text[a - 1].isspace() and (w := text[max(0, a - 8) : a].split()) and w[-1] in _PART_ENDS:
             if lead := _LEAD.search(text, max(0, a - 30), a):
                 a = lead.start()
         yield a, b

@@ -320,7 +320,7 @@ def name_spans(tokens: list[str], stop: set[str] = frozenset()) -> list[tuple[in
     """Segments of an island that may be a name: they end in a word and hold no stop word."""
     n = len(tokens)
     good = [not t.islower() and not t.endswith(".") for t in tokens]
-    bad = [g and (t in stop or any(c.isdigit() for c in t)) for g, t in zip(good, tokens)]
+    bad = [g and (t in stop or not t.isalpha() and any(map(str.isdigit, t))) for g, t in zip(good, tokens)]
     out = []
     for i in range(n):
         for j in range(i + 1, min(n, i + MAX_TOKENS) + 1):
@@ -364,7 +364,7 @@ def islands(text: str, taken: list[tuple[int, int]], stop: set[str] = frozenset(
             dead = _DEAD.get(own)
             if dead is None:
                 dead = all(t in stop or t[0].islower() or t[-1] == "." for t in _TOKEN.findall(own))
-                if len(_DEAD) < MEMO:
+                if len(_DEAD) < MEMO and len(own) < 200:
                     _DEAD[own] = dead
             if dead:
                 continue
@@ -372,7 +372,7 @@ def islands(text: str, taken: list[tuple[int, int]], stop: set[str] = frozenset(
         cut = _CUT.get(own)
         if cut is None:
             cut = [t.span() for t in _TOKEN.finditer(own)]
-            if len(_CUT) < MEMO:
+            if len(_CUT) < MEMO and len(own) < 200:
                 _CUT[own] = cut
         if k >= len(taken) or taken[k][0] >= b:  # nothing taken out of it
             yield [(a + x, a + y) for x, y in cut], [own[x:y] for x, y in cut], _left(text, a + cut[0][0]), _right(text, a + cut[-1][1])
@@ -439,7 +439,7 @@ class Decoder:
         n = len(tokens)
         if n == 1:
             t = tokens[0]
-            if t in self.stop or t.islower() or t[-1] == "." or any(map(str.isdigit, t)):
+            if t in self.stop or t.islower() or t[-1] == "." or not t.isalpha() and any(map(str.isdigit, t)):
                 return []
             own, (l2, l1) = shape_of(tokens), before
             score = self.word_score(t) + bias + by_shape.get(own, 0.0) + left.get(l1, 0.0) + left2.get(before, 0.0) + right.get(after, 0.0) + shape_left.get((own, l1), 0.0) + left_right.get((l1, after), 0.0)

@@ -15,6 +15,7 @@ COMPANY_WORDS = ["株式会社", "有限会社", "合同会社", "合資会社",
 NAME_MARKS = r"[　\s\-_/,.。、･・()（）【】\[\]]+"
 # Marks read as a hyphen in addresses.
 HYPHENS = "‐‑‒–—―ー−"
+# Fixed value: forms of telephone numbers looked for in pages.
 PHONE = r"(0\d{1,4}-\d{1,4}-\d{3,4}|0\d{9,10}|\+81[\d-]{9,13})"
 
 

@@ -47,17 +47,22 @@ def resolve(records: DataFrame, entities: DataFrame) -> DataFrame:
         joined = rest.join(by(key), ["job_id", key], "left")
         out.append(joined.where("hit is not null").select(*records.columns, F.lit("merge").alias("action"), F.col("hit").alias("entity_id"), F.lit(reason).alias("reason")))
         rest = joined.where("hit is null").select(*records.columns)
-    # Same name: a conflicting entity is preferred, as it is the one to look at.
-    names = live.where(F.coalesce("normalized_name", F.lit("")) != "").select("job_id", "normalized_name", F.col("entity_id").alias("hit"), *(F.col(c).alias(f"_{c}") for c in ("domain", "address", "telephone")))
-    differs = lambda c: (F.col(c) != "") & (F.col(f"_{c}") != "") & (F.col(c) != F.col(f"_{c}"))
-    conflict = F.lit(False)
+    # Same name: the smallest entity in conflict, else the smallest. Per name and
+    # column two entities decide, the first and the first with another value, so
+    # a name that many share is never paired row by row.
+    named = live.where(F.coalesce("normalized_name", F.lit("")) != "")
+    key = ["job_id", "normalized_name"]
+    names = named.groupBy(*key).agg(F.min("entity_id").alias("any_id"))
+    clashes = []
     for c in ("domain", "address", "telephone"):
-        conflict = conflict | F.coalesce(differs(c), F.lit(False))
-    rest = rest.withColumn("_row", F.monotonically_increasing_id())
-    best = rest.join(names, ["job_id", "normalized_name"]).groupBy("_row").agg(F.min(F.struct(F.when(conflict, 0).otherwise(1).alias("k"), F.col("hit"))).alias("b"))
-    last = rest.join(best, "_row", "left")
-    out.append(last.select(*records.columns, F.when(F.col("b").isNull(), "new").otherwise("review").alias("action"), F.col("b.hit").alias("entity_id"),
-                           F.when(F.col("b").isNull(), "no match").when(F.col("b.k") == 0, "same name but conflicting domain/address/telephone").otherwise("name matches but no strong corroborating signal").alias("reason")))
+        held = named.where(F.coalesce(c, F.lit("")) != "").groupBy(*key, c).agg(F.min("entity_id").alias("id"))
+        first = held.groupBy(*key).agg(F.min(F.struct("id", c)).alias("m")).select(*key, F.col("m.id").alias(f"{c}_id"), F.col(f"m.{c}").alias(f"{c}_first"))
+        other = held.join(first, key).where(F.col(c) != F.col(f"{c}_first")).groupBy(*key).agg(F.min("id").alias(f"{c}_other"))
+        names = names.join(first, key, "left").join(other, key, "left")
+        clashes.append(F.when(F.coalesce(c, F.lit("")) != "", F.when(F.col(f"{c}_first") != F.col(c), F.col(f"{c}_id")).otherwise(F.col(f"{c}_other"))))
+    last = rest.join(names, key, "left").withColumn("clash", F.least(*clashes))
+    out.append(last.select(*records.columns, F.when(F.col("any_id").isNull(), "new").otherwise("review").alias("action"), F.coalesce("clash", "any_id").alias("entity_id"),
+                           F.when(F.col("any_id").isNull(), "no match").when(F.col("clash").isNotNull(), "same name but conflicting domain/address/telephone").otherwise("name matches but no strong corroborating signal").alias("reason")))
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import cut, ship
 
 #: Fused ratio from which a container without the page's heading counts as content.
 THRESHOLD = 120.0
@@ -201,23 +201,39 @@ def scores(lines: list[tuple], home: np.ndarray, seen: np.ndarray) -> np.ndarray
     return np.where(seen[t], np.maximum(home[t], mean), mean)
 
 
-def gram_counts(pages: DataFrame) -> np.ndarray:
-    """Counts of 4-grams (inside, outside) of content nodes over all pages, 2 x BUCKETS."""
+def labelled_lines(pages: DataFrame) -> DataFrame:
+    """(id, line_no, text, inside, heading, tag) of each line with text of (id, content); each page is parsed once."""
+    kind = dict(pages.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows = [], []
+            for i, page in enumerate(b.column(1).to_pylist()):
+                own = labelled(page)
+                rows += own
+                at += [i] * len(own)
+            no, text, inside, heading, tag = (list(c) for c in zip(*rows)) if rows else ([],) * 5
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(no, pa.int32()), pa.array(text, pa.string()), pa.array(inside, pa.bool_()), pa.array(heading, pa.bool_()), pa.array(tag, pa.string())], names=["id", "line_no", "text", "inside", "heading", "tag"])
+
+    return pages.mapInArrow(run, f"id {kind}, line_no int, text string, inside boolean, heading boolean, tag string")
+
+
+def gram_counts(lines: DataFrame) -> np.ndarray:
+    """Counts of 4-grams and templates (inside, outside) of content nodes over all lines, 2 x BUCKETS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
         for b in batches:
-            for page in b.column(0).to_pylist():
-                lines = labelled(page)
-                for side in (0, 1):
-                    own = [x for x in lines if x[2] == (side == 0)]
-                    total[side] += np.bincount(grams([x[1] for x in own])[0], minlength=BUCKETS)
-                    np.add.at(total[side], [template(x[4], x[1]) for x in own], 1)
+            text, tag, inside = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
+            for side in (0, 1):
+                own = [k for k, x in enumerate(inside) if x == (side == 0)]
+                total[side] += np.bincount(grams([text[k] for k in own])[0], minlength=BUCKETS)
+                np.add.at(total[side], [template(tag[k], text[k]) for k in own], 1)
         at = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[0][at]), pa.array(total[1][at])], names=["bucket", "inside", "outside"])
 
     counts = np.zeros((2, BUCKETS), np.int64)
-    rows = pages.select("content").mapInArrow(run, "bucket int, inside bigint, outside bigint").groupBy("bucket").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    rows = lines.select("text", "tag", "inside").mapInArrow(run, "bucket int, inside bigint, outside bigint").groupBy("bucket").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
     got = rows.toPandas()  # at most BUCKETS rows
     counts[0][got.bucket], counts[1][got.bucket] = got.inside, got.outside
     return counts
@@ -233,21 +249,19 @@ def main_lines(pages: DataFrame, id_col: str = "fetch_id", page_col: str = "cont
     ship(spark)
     rows = pages.select(F.col(id_col).alias("id"), F.col(page_col).alias("content")).where("content is not null")
     kind = dict(rows.dtypes)["id"]
-    counts = gram_counts(rows)
+    lines = cut(labelled_lines(rows))
+    counts = gram_counts(lines)
     seen = counts.sum(axis=0) >= LEAST_SEEN
     home = np.where(seen, np.clip(np.log((counts[0] + 0.5) / (counts[1] + 0.5)), -3, 3), 0)
     shared = spark.sparkContext.broadcast((home.astype(np.float32), seen))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, nos, texts = [], [], []
-            for i, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                inside = [x for x in labelled(page) if x[2]]
-                if not inside:
-                    continue
-                for x, s in zip(inside, scores(inside, *shared.value)):
-                    if x[3] or s >= 0:
-                        ids.append(i), nos.append(x[0]), texts.append(x[1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(nos, pa.int32()), pa.array(texts, pa.string())], names=["id", "line_no", "text"])
-
-    return rows.mapInArrow(run, f"id {kind}, line_no int, text string").withColumnRenamed("id", id_col)
+            own = list(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()))
+            if own:
+                good = np.array([x[3] for x in own]) | (scores(own, *shared.value) >= 0)
+                b = b.filter(pa.array(good))
+            yield b.select(["id", "line_no", "text"])
+
+    inside = lines.where("inside").select("id", "line_no", "text", "heading", "tag")
+    return inside.mapInArrow(keep, f"id {kind}, line_no int, text string").withColumnRenamed("id", id_col)

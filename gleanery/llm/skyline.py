@@ -77,6 +77,8 @@ def skyline(rows: DataFrame, keys: list[str]) -> DataFrame:
     point = F.struct("complete", "recent", "trust", "entity_id", "mark")
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     large = sizes.where(F.col("_n") > GROUP_ROWS)
+    if large.isEmpty():  # nothing to cut: the rounds would pass every row through
+        return rows.groupBy(*keys).agg(F.collect_list(point).alias("_p")).select(*keys, _undominated(F.col("_p")).alias("sky"))
     rows = rows.join(large, keys, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
     for share in (GROUP_ROWS, GROUP_ROWS**2):
         part = F.expr(f"cast(pmod(xxhash64(entity_id), ceil(_n / {share})) as int)")

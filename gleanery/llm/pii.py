@@ -33,8 +33,6 @@ from .skeleton import CYRILLIC, GREEK
 MAX_TOKENS = 6
 #: Islands whose decoding a worker keeps.
 MEMO = 300_000
-#: Times a word must be met, never in a name, to end a candidate.
-STOP_FROM = 25
 #: Documents ``fit`` takes its lexicon from, and those it fits the weights to, at most.
 LEXICON_DOCUMENTS, FIT_DOCUMENTS = 10_000, 3000
 WEIGHTS = Path(__file__).with_name("pii_weights.json")
@@ -49,6 +47,9 @@ FR_STREET = "rue|avenue|place|chemin|boulevard|impasse|quai|allée|cours|route|s
 DE_STREET = "straße|strasse|str\\.|weg|gasse|platz|allee|ring|damm|ufer"
 ES_STREET = "C/|Calle|Avda\\.|Avenida|Plaza|Paseo|Camino|Ronda|Travesía"
 
+#: Forms of address and function words that are no one's name; every other capitalised word may stand in a candidate.
+STOP = frozenset("Mr Mrs Ms Dr Herr Frau Monsieur Madame Mme Mlle Dña Sr Sra Excmo Ilma The It He There This That These Any On As If Nach Nr Selon Toute Según Además".split())
+
 _UP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪĶŁĻŃŇŌŐŒŘŚŞŠŤŪŮŰŹŻŽ"
 _S = r"(?:[^\S\n]+(?:\r?\n)?[^\S\n]*|\r?\n[^\S\n]*)"
 _W = rf"[{_UP}][\w­]*(?:[’'](?!s\b)[\w­]+|-[\w­]+)*"
@@ -290,7 +291,7 @@ def patterns(text: str) -> list[tuple[int, int, str]]:
 
 @lru_cache(maxsize=1)
 def weights() -> dict[str, float]:
-    """Feature weights; ``!word`` marks a word that was seen often and never in a name."""
+    """Feature weights."""
     return json.loads(WEIGHTS.read_text()) if WEIGHTS.exists() else {}
 
 
@@ -397,7 +398,7 @@ def islands(text: str, taken: list[tuple[int, int]], stop: set[str] = frozenset(
 class Decoder:
     def __init__(self, w: dict[str, float]):
         self.w, self.memo, self.word_scores = w, {}, {}
-        self.stop = {f[1:] for f in w if f[0] == "!"}
+        self.stop = STOP
         # The weights of names again, by what they look up.
         by_shape, left, left2, right, shape_left, left_right = ({} for _ in range(6))
         for f, v in w.items():
@@ -575,6 +576,15 @@ def lexicon(texts: Iterable[str], rounds: int = 3) -> set[str]:
     return words
 
 
+def outside(text: str, decoder: Decoder) -> str:
+    """The text with pattern items blanked: a surname is often met in citations and firms, which say nothing of it."""
+    parts, at = [], 0
+    for a, b, _ in sorted(decoder.fixed(text)):
+        parts += [text[at:a], "·" * (b - max(a, at))]
+        at = max(at, b)
+    return "".join([*parts, text[at:]])
+
+
 def silver(text: str, words: set[str], decoder: Decoder) -> tuple[list, list]:
     """Labels by strong contexts: ([(kind, a, b, right)], [(tokens, before, after, gold spans)])."""
     numbers = []
@@ -619,12 +629,13 @@ _NOT_NAMES = {"landgericht", "amtsgericht", "gericht", "court", "tribunal", "aud
 
 
 def fit(texts: list[str], epochs: int = 8, rate: float = 0.6, decay: float = 1e-4) -> dict[str, float]:
-    """Weights by maximum likelihood (AdaGrad) on a bounded sample of labelled texts, and stop words.
+    """Weights by maximum likelihood (AdaGrad) on a bounded sample of labelled texts.
 
     Features must occur in two islands; weights under 0.02 are dropped.
     """
     texts = [level(t) for t in texts[:LEXICON_DOCUMENTS] if t]
-    words, decoder = lexicon(texts), Decoder({"phone": 1.0, "id_number": 1.0, "address": 5.0})
+    decoder = Decoder({"phone": 1.0, "id_number": 1.0, "address": 5.0})
+    words = lexicon(outside(t, decoder) for t in texts)
     jobs: Counter = Counter()
     for t in texts[:FIT_DOCUMENTS]:
         numbers, names = silver(t, words, decoder)
@@ -660,13 +671,7 @@ def fit(texts: list[str], epochs: int = 8, rate: float = 0.6, decay: float = 1e-
                         g = d - decay * w[f]
                         g2[f] += g * g
                         w[f] += rate * g / math.sqrt(g2[f])
-    held, met = Counter(), Counter()
-    for job, n in jobs.items():
-        if job[0] == "i":
-            met.update({t: n for t in job[1]})
-            held.update({t: n for a, b in job[4] for t in job[1][a:b]})
-    stop = {f"!{t}": 1.0 for t, n in sorted(met.items()) if n >= STOP_FROM and not held[t] and t[0].isupper() and not t.endswith(".")}
-    return {f: round(v, 3) for f, v in sorted(w.items()) if abs(v) >= 0.02} | stop
+    return {f: round(v, 3) for f, v in sorted(w.items()) if abs(v) >= 0.02}
 
 
 def marginals(n: int, spans: list, scores: list[float]) -> list[float]:

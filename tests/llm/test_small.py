@@ -283,6 +283,21 @@ def test_find(text):
     assert got == TEXTS[text]
 
 
+SURNAMES = ["Miss Harrowden could not see it.", "I do not accept that Ms Winterwell could have seen it.", "Nach der Aussage von Zeuge Föhrbichler wurde der Betrag gezahlt.", "Besetzung: Richterin Eichstetter\n", "He was met by Cato Harrowden on the day."]
+
+
+@pytest.mark.parametrize("text", SURNAMES)
+def test_surnames_often_met_in_citations(text):
+    got = [text[a:b] for k, a, b in pii.shared_decoder().find(text) if k == "name"]
+    assert got == [next(n for n in ("Cato Harrowden", "Harrowden", "Winterwell", "Föhrbichler", "Eichstetter") if n in text)]
+
+
+def test_any_capitalised_word_may_be_a_name():
+    assert not any(f.startswith("!") for f in pii.weights())
+    w = {"N:w=quay": 9.0}
+    assert pii.Decoder(w).find("seen by Quay here") == [("name", 8, 12)]
+
+
 def test_items_and_redaction(spark):
     text = next(iter(TEXTS))
     df = spark.createDataFrame([(1, text), (1, text), (2, None), (3, ""), (4, "  "), (5, "Xa" * 3000), (6, "no one " * 5000 + text)], "doc_id bigint, text string").withColumn("kind", F.lit(1))

@@ -5,14 +5,16 @@ container path (with its place among its siblings, since many pages mark up all
 blocks alike) the length of text outside links and the number of punctuation
 marks are aggregated and divided by the number of leaf nodes; both ratios are
 smoothed over neighbouring paths, fused with the share of text outside links and
-compared with a threshold. The container of the page's own heading is the
-content node if it carries text; otherwise the best container above the
-threshold is.
+compared with a threshold. The container of the page's own heading is a content
+node if it carries more text than links. So may be every other container above
+the threshold, but promotions pass it too: on a page with a heading, such a
+container's lines are held against all pages before it counts.
 
 Promotions stand inside content nodes too. What a line says is therefore held
 against all pages: hashed 4-grams are counted inside and outside the content
 nodes of the whole input (a table of fixed size), and lines of a content node
-whose 4-grams are at home outside are left out.
+whose 4-grams are at home outside are left out. Lines of containers that only
+pass the threshold are counted once it is known which they are.
 """
 
 from __future__ import annotations
@@ -37,9 +39,12 @@ KERNEL = [0.1, 0.8, 0.1]
 BUCKETS = 1 << 19
 #: Times a 4-gram or template must be seen before it counts.
 LEAST_SEEN = 5
+#: Share of a container's lines that may be at home outside if it is content by its ratio alone.
+MOST_FOREIGN = 0.2
 # Elements that hold blocks, and those whose text is no content.
 CONTAINERS = {"html", "body", "div", "section", "article", "main", "aside", "nav", "header", "footer", "table", "tbody", "tr", "td", "ul", "ol", "dl", "form", "fieldset", "figure", "details"}
 SILENT = {"script", "style", "head", "title", "template", "noscript", "svg"}
+TOPS = {"body", "html", "#"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = {"br", "img", "hr", "meta", "link", "input", "source", "wbr", "area", "base", "col", "embed"}
 
@@ -119,8 +124,8 @@ def lines_of(page: str) -> tuple[list[dict], list[dict]]:
     return lines, nodes
 
 
-def content_nodes(lines: list[dict], nodes: list[dict]) -> list[int]:
-    """Indexes of the content containers; none for a page without a main body."""
+def content_nodes(lines: list[dict], nodes: list[dict]) -> tuple[list[int], list[int]]:
+    """Indexes of the content containers, and of those that pass the threshold beside the heading's; none for a page without a main body."""
     n = len(nodes)
     under = np.zeros(n, int)
     for x in lines:
@@ -143,31 +148,55 @@ def content_nodes(lines: list[dict], nodes: list[dict]) -> list[int]:
         leaf[k] += 1
     used = np.flatnonzero(leaf)
     if not len(used):
-        return []
+        return [], []
     ratio, marks = size[used] / leaf[used], punct[used] / leaf[used]
     smooth = lambda v: np.convolve(np.pad(v, 1, mode="edge"), KERNEL, "valid")
     fused = smooth(ratio) * (1 + smooth(marks)) * size[used] / np.maximum(size[used] + link[used], 1)
-    top = int(np.argmax(fused))
-    best = [int(used[top])] if fused[top] >= THRESHOLD and punct[used[top]] >= 2 else []
+    over = [int(k) for k, v in zip(used, fused) if v >= THRESHOLD and punct[k] >= 2]
     head = next((x for x in lines if x["heading"]), None)
     if head is None:
-        return best
+        return over, []
     k = box(head["node"], ())
-    return [k] if nodes[k]["tag"] not in ("body", "html", "#") else best
-
-
-def labelled(page: str) -> list[tuple[int, str, bool, bool, str]]:
-    """(line number, text, inside a content node, heading, tag) of each line with text."""
+    if nodes[k]["tag"] in TOPS:
+        return over, []
+    above, own = {k}, []
+    for x in lines:
+        j = x["node"]
+        while j > k:
+            j = nodes[j]["up"]
+        if j == k and not x["heading"]:
+            own.append(x)
+    text, links = sum(len(x["text"].strip()) for x in own), sum(x["link"] for x in own)
+    while nodes[k]["up"] >= 0:
+        k = nodes[k]["up"]
+        above.add(k)
+    found = [max(above)] if text > 2 * links or not own else []
+    return found, [x for x in over if x not in above or nodes[x]["tag"] in TOPS]
+
+
+def labelled(page: str) -> list[tuple[int, str, bool | None, bool, str, int | None]]:
+    """(line number, text, inside a content node, heading, tag, container) of each line with text.
+
+    Where only the threshold is passed, inside is null and the container is given.
+    """
     if "<" not in page:
         return []
     lines, nodes = lines_of(page)
-    kept = content_nodes(lines, nodes)
+    kept, maybe = content_nodes(lines, nodes)
+
+    def around(k: int, among: list[int]) -> int | None:
+        """The container of ``among`` a line of k stands in; a page's top holds its own lines only."""
+        if k in among:
+            return k
+        while k >= 0 and (k not in among or nodes[k]["tag"] in TOPS):
+            k = nodes[k]["up"]
+        return k if k >= 0 else None
+
     out = []
     for x in lines:
-        j, found = x["node"], False
-        while j >= 0 and not found:
-            found, j = j in kept, nodes[j]["up"]
-        out.append((x["no"], x["text"].strip(), found or x["heading"], x["heading"], x["tag"]))
+        sure = x["heading"] or around(x["node"], kept) is not None
+        part = None if sure else around(x["node"], maybe)
+        out.append((x["no"], x["text"].strip(), True if sure else False if part is None else None, x["heading"], x["tag"], part))
     return out
 
 
@@ -201,21 +230,54 @@ def scores(lines: list[tuple], home: np.ndarray, seen: np.ndarray) -> np.ndarray
     return np.where(seen[t], np.maximum(home[t], mean), mean)
 
 
+def settled(inside: list[bool | None], part: list[int | None], start: list[bool], score: np.ndarray) -> np.ndarray:
+    """Which lines are inside a content node; a container known by its threshold alone is one if few of its lines are at home outside."""
+    out, of, page = np.array([x is True for x in inside], bool), {}, 0
+    for k, p in enumerate(part):
+        page += start[k]
+        if p is not None:
+            of.setdefault((page, p), []).append(k)
+    for at in of.values():
+        out[at] = np.mean(score[at] < 0) <= MOST_FOREIGN
+    return out
+
+
+def whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The lines again, no page in two tables."""
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        starts = np.flatnonzero(b.column("start").to_numpy(zero_copy_only=False))
+        if len(starts):
+            yield pa.Table.from_batches([*rest, b.slice(0, int(starts[-1]))])
+            rest = []
+            b = b.slice(int(starts[-1]))
+        rest.append(b)
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def homes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far each bucket is at home inside, over 0, or outside; and which are seen often enough."""
+    seen = counts.sum(axis=0) >= LEAST_SEEN
+    return np.where(seen, np.clip(np.log((counts[0] + 0.5) / (counts[1] + 0.5)), -3, 3), 0).astype(np.float32), seen
+
+
 def labelled_lines(pages: DataFrame) -> DataFrame:
-    """(id, line_no, text, inside, heading, tag) of each line with text of (id, content); each page is parsed once."""
+    """(id, line_no, text, inside, heading, tag, part, start) of each line with text of (id, content); each page is parsed once."""
     kind = dict(pages.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, rows = [], []
+            at, rows, start = [], [], []
             for i, page in enumerate(b.column(1).to_pylist()):
                 own = labelled(page)
                 rows += own
                 at += [i] * len(own)
-            no, text, inside, heading, tag = (list(c) for c in zip(*rows)) if rows else ([],) * 5
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(no, pa.int32()), pa.array(text, pa.string()), pa.array(inside, pa.bool_()), pa.array(heading, pa.bool_()), pa.array(tag, pa.string())], names=["id", "line_no", "text", "inside", "heading", "tag"])
+                start += [k == 0 for k in range(len(own))]
+            no, text, inside, heading, tag, part = (list(c) for c in zip(*rows)) if rows else ([],) * 6
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(no, pa.int32()), pa.array(text, pa.string()), pa.array(inside, pa.bool_()), pa.array(heading, pa.bool_()), pa.array(tag, pa.string()), pa.array(part, pa.int32()), pa.array(start, pa.bool_())], names=["id", "line_no", "text", "inside", "heading", "tag", "part", "start"])
 
-    return pages.mapInArrow(run, f"id {kind}, line_no int, text string, inside boolean, heading boolean, tag string")
+    return pages.mapInArrow(run, f"id {kind}, line_no int, text string, inside boolean, heading boolean, tag string, part int, start boolean")
 
 
 def gram_counts(lines: DataFrame) -> np.ndarray:
@@ -226,7 +288,7 @@ def gram_counts(lines: DataFrame) -> np.ndarray:
         for b in batches:
             text, tag, inside = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
             for side in (0, 1):
-                own = [k for k, x in enumerate(inside) if x == (side == 0)]
+                own = [k for k, x in enumerate(inside) if x is (side == 0)]
                 total[side] += np.bincount(grams([text[k] for k in own])[0], minlength=BUCKETS)
                 np.add.at(total[side], [template(tag[k], text[k]) for k in own], 1)
         at = np.flatnonzero(total.any(axis=0))
@@ -251,17 +313,29 @@ def main_lines(pages: DataFrame, id_col: str = "fetch_id", page_col: str = "cont
     kind = dict(rows.dtypes)["id"]
     lines = cut(labelled_lines(rows))
     counts = gram_counts(lines)
-    seen = counts.sum(axis=0) >= LEAST_SEEN
-    home = np.where(seen, np.clip(np.log((counts[0] + 0.5) / (counts[1] + 0.5)), -3, 3), 0)
-    shared = spark.sparkContext.broadcast((home.astype(np.float32), seen))
+    first = spark.sparkContext.broadcast(homes(counts))
+    fields = ("text", "heading", "tag", "part", "start", "inside")
+
+    def parts(t: pa.Table) -> tuple[list[tuple], np.ndarray]:
+        text, heading, tag, part, start, inside = (t.column(c).to_pylist() for c in fields)
+        own = list(zip(text, text, heading, heading, tag))
+        return own, settled(inside, part, start, scores(own, *first.value)) if own else np.zeros(0, bool)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_pages(batches):
+            t = t.set_column(t.schema.get_field_index("inside"), "inside", pa.array(parts(t)[1], pa.bool_()))
+            yield from t.filter(t.column("part").is_valid()).select(["text", "tag", "inside"]).to_batches()
+
+    held = lines.where("start or part is not null").select("id", "line_no", *fields)
+    counts += gram_counts(held.mapInArrow(settle, "text string, tag string, inside boolean"))
+    shared = spark.sparkContext.broadcast(homes(counts))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = list(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()))
+        for t in whole_pages(batches):
+            own, inside = parts(t)
             if own:
-                good = np.array([x[3] for x in own]) | (scores(own, *shared.value) >= 0)
-                b = b.filter(pa.array(good))
-            yield b.select(["id", "line_no", "text"])
+                good = inside & (np.array([x[3] for x in own]) | (scores(own, *shared.value) >= 0))
+                yield from t.filter(pa.array(good)).select(["id", "line_no", "text"]).to_batches()
 
-    inside = lines.where("inside").select("id", "line_no", "text", "heading", "tag")
+    inside = lines.where("start or part is not null or inside").select("id", "line_no", *fields)
     return inside.mapInArrow(keep, f"id {kind}, line_no int, text string").withColumnRenamed("id", id_col)

@@ -238,6 +238,20 @@ def test_main_lines(spark):
     assert boilerplate.main_lines(df.limit(0)).count() == 0
 
 
+SPLIT = "<html><body>\n<ul>\n<li><a href=/>Top</a></li>\n<li><a href=/m>Map</a></li>\n</ul>\n<div>\n<h1>Mill {k}</h1>\n<p>By the mill office</p>\n</div>\n<div>\n<p>The mill number {k} has a wheel, and it grinds corn, rye and oats, as it has done since the year it was built.</p>\n<p>Its owner keeps bees, geese, and a dog, which guards the yard, the barn, the wheel and the gate by night.</p>\n</div>\n<section>\n<p>A second part tells of the flood, of the bridge, and of all that was lost, found, mended and built again here.</p>\n<p>The guide to the mill is sold at the door, in print, in four languages, for a small fee that keeps the roof whole.</p>\n</section>\n<footer>\n<p>All rights kept, see terms.</p>\n</footer>\n</body></html>"
+
+
+def test_body_beside_the_heading_and_in_several_containers(spark):
+    pages = [(i, SPLIT.replace("{k}", str(1800 + i))) for i in range(30)]
+    got = {}
+    for r in boilerplate.main_lines(spark.createDataFrame(pages, "fetch_id bigint, content string")).collect():
+        got.setdefault(r.fetch_id, set()).add(r.line_no)
+    assert all({6, 10, 11, 14, 15} <= got[i] and not {2, 3, 18} & got[i] for i in range(30))
+    bare = [(i, SPLIT.replace("h1>", "b>")) for i in range(30)]  # no heading: every passing container, not the best alone
+    rows = boilerplate.main_lines(spark.createDataFrame(bare, "fetch_id bigint, content string")).collect()
+    assert {r.line_no for r in rows} == {10, 11, 14, 15}
+
+
 # ---- personal information ----
 
 

@@ -147,8 +147,10 @@ def repeats(candidates: DataFrame, entities: DataFrame, discovered: DataFrame) -
     d = discovered.where("stable_id is not null").select("job_id", "batch_no", "url", F.regexp_extract("stable_id", r"^0*([1-9][0-9]{5,})$", 1).alias("stable")).where("stable != ''").groupBy("job_id", "batch_no", "url").agg(F.min("stable").alias("stable"))
     c = c.join(d, ["job_id", "batch_no", "url"], "left").withColumn("number", F.coalesce("number", "stable"))
     arrivals = c.select(F.col("candidate_id").alias("id"), F.coalesce("batch_no", F.lit(2**31 - 1)).alias("rank"), sort_keys(F.col("job_id"), F.col("number"), plain_link(F.col("url")), F.col("fp")).alias("keys"))
-    e = entities.select("entity_id", "job_id", F.coalesce(F.nullif(F.regexp_extract("external_id", r"^0*([1-9][0-9]{5,})$", 1), F.lit("")), listing_number(F.col("canonical_url"))).alias("number"), F.col("canonical_url").alias("url"))
-    history = e.select(F.explode(sort_keys(F.col("job_id"), F.col("number"), plain_link(F.col("url")), F.lit(None).cast("string"))).alias("key"), "entity_id").groupBy("key").agg(F.min("entity_id").alias("holder"))
+    e = entities.select("entity_id", "job_id", F.coalesce(F.nullif(F.regexp_extract("external_id", r"^0*([1-9][0-9]{5,})$", 1), F.lit("")), listing_number(F.col("canonical_url"))).alias("number"), F.col("canonical_url").alias("url"), (F.col("fingerprint") if "fingerprint" in entities.columns else F.lit(None).cast("string")).alias("fp"))
+    # A fingerprint without a number is a key of its own, for candidates that have no number either.
+    by_fp = F.when(F.col("fp").isNotNull() & number_of(F.col("fp")).isNull() & F.col("number").isNotNull(), F.array(F.concat_ws("|", F.lit("f"), "job_id", "fp"))).otherwise(F.array().cast("array<string>"))
+    history = e.select(F.explode(F.concat(sort_keys(F.col("job_id"), F.col("number"), plain_link(F.col("url")), F.col("fp")), by_fp)).alias("key"), "entity_id").groupBy("key").agg(F.min("entity_id").alias("holder"))
     history = cut(history)
     store = RunStore(spark)
     store.plan(history)

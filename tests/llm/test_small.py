@@ -148,6 +148,13 @@ def test_repeats(spark):
     assert incremental.repeats(c, e.limit(0), d.limit(0)).count() == 3
 
 
+def test_fingerprints_of_entities(spark):
+    c = spark.createDataFrame([("c1", "j", 1, "https://e.test/about", "shop:mill-house"), ("c2", "j", 2, "https://e.test/z", "shop:inn"), ("c3", "k", 1, None, "shop:inn")], "candidate_id string, job_id string, batch_no int, url string, fingerprint string")
+    e = spark.createDataFrame([("ent1", "j", None, "https://o.test/mill", "shop:mill-house"), ("ent2", "j", "555555555", "https://o.test/", "shop:inn")], "entity_id string, job_id string, external_id string, canonical_url string, fingerprint string")
+    d = spark.createDataFrame([], "job_id string, batch_no int, url string, stable_id string")
+    assert {(r.id_a, r.id_b) for r in incremental.repeats(c, e, d).collect()} == {("c1", "ent1"), ("c2", "ent2")}
+
+
 def test_runs_are_divided_and_compacted(spark, monkeypatch):
     monkeypatch.setattr(incremental, "ROWS_PER_RANGE", 10)
     store = incremental.RunStore(spark)

@@ -23,8 +23,9 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate, compress
 from operator import itemgetter
 from pathlib import Path
 
@@ -56,15 +57,15 @@ _UP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪĶŁĻŃŇŌŐŒŘŚŞŠŤŪŮŰŹ
 _S = r"(?:[^\S\n]+(?:\r?\n)?[^\S\n]*|\r?\n[^\S\n]*)"
 _W = rf"[{_UP}][\w­]*(?:[’'](?!s\b)[\w­]+|-[\w­]+)*"
 _PART = "(?:" + "|".join(p.replace(" ", r"\s+") for p in PARTICLES) + ")"
-_TOK = rf"(?:[{_UP}]\.(?:-[{_UP}]\.)?|{_W})"
-# Starts at a capital, so that the scan can skip to one; particles before it are looked for afterwards.
+_TOK = rf"[{_UP}](?:\.(?:-[{_UP}]\.)?|[\w­]*(?:[’'](?!s\b)[\w­]+|-[\w­]+)*)"
+# Each pattern begins with a set of characters, so that the scan can skip to one; particles before it are looked for afterwards.
 _RUN = re.compile(rf"({_TOK}(?:(?:(?<=[A-ZÀ-Þ]{{2}}),)?{_S}(?:{_PART}{_S}){{0,3}}{_TOK}|(?:(?<=\bDr)|(?<=\bMr)|(?<=\bSr)|(?<=\bMs)|(?<=\bExcmo)|(?<=\bIlma)|(?<=\bIlmo)|(?<=\bExcma)|(?<=\bSra)|(?<=\bDña)|(?<=\bProf)|(?<=\bMme))\.{_S}(?:{_PART}{_S}){{0,3}}{_TOK})*)")
 _LEAD = re.compile(rf"(?<![\w­@])(?:{_PART}{_S}){{1,3}}$")
 _PART_WORDS = {w for p in PARTICLES for w in p.split()}
 #: Last two characters of a particle that stands before a blank.
 _PART_TAILS = {f" {p}"[-2:] for p in PARTICLES}
-_TOKEN = re.compile(rf"[{_UP}]\.(?:-[{_UP}]\.)?|[\w­]+(?:[’'-][\w­]+)*")
-_WORDS = re.compile(r"[\w­]+|[^\w\s]")
+_TOKEN = re.compile(rf"[\w­](?:(?<=[{_UP}])\.(?:-[{_UP}]\.)?|[\w­]*(?:[’'-][\w­]+)*)")
+_WORDS = re.compile(r"\S(?:(?<=[\w­])[\w­]*)?")
 
 _AT = ("@", "[at]", "(at)", "[AT]", "(AT)")
 _LOCAL = re.compile(r"(?<![\w.+%-])[\w+%-][\w.+%-]*$")
@@ -73,14 +74,12 @@ _LABEL = re.compile(r"[\w-]*[^\W\d_][\w-]*")
 _HOST_PART = re.compile(r"\w[\w-]*(?=\.\w)")
 _FR_WORD = re.compile(rf"\s(?:{FR_STREET})\s")
 # Starts at a digit or its opening mark, so that the scan can skip to one; letters before it are looked for afterwards.
-_BLOB = re.compile(r"[+(0-9](?:[\d()\-/‐-–\xa0 \t]|\.(?=\d)|\r?\n(?=\d)){3,24}[\dA-Z](?:\d{1,4}|(?:[ -]|\r?\n)?[A-Z])?(?![\w@’'])|[0-9]{5,}(?:[ -]?[A-Z]\d{0,4})?(?![\w@’'])")
+_BLOB = re.compile(r"[+(0-9](?=[\d()\-/‐-–\xa0 \t.\r\n]{3})(?:(?:[\d()\-/‐-–\xa0 \t]|\.(?=\d)|\r?\n(?=\d)){3,24}[\dA-Z](?:\d{1,4}|(?:[ -]|\r?\n)?[A-Z])?(?![\w@’'])|(?<=[0-9])[0-9]{4,}(?:[ -]?[A-Z]\d{0,4})?(?![\w@’']))")
 _BLOB_HEAD = re.compile(r"(?<![\w@#€$£])[A-Z]{1,3}(?:[ \xa0-]|\r?\n)?$")
 _DATE = re.compile(r"(?:\d{4}-\d\d-\d\d|\d{1,2}\.\d{1,2}\.\d{4})(?!\d)|\d{1,3}\.\d{3}$")
 _POST = rf"[A-Z]{{1,2}}\d{{1,2}}[A-Z]?{_S}?\d[A-Z]{{2}}"
 _TAIL = rf"(?:,{_S}\d{{5}}{_S}{_W}|{_S}in{_S}\d{{5}}{_S}{_W})?"
 # Each pattern starts at what is rare, a number or a fixed word; what may stand before it is looked for afterwards.
-#: A text without any of these is not searched for addresses that begin with them.
-_FIRST_WORDS = ("Am ", "Am\n", "An der", "Im ", "Im\n", "In der", "Zum", "Zur", "Auf der", "Calle", "Avda.", "Avenida", "Plaza", "Paseo", "Camino", "Ronda", "Travesía", "C/", "Am\xa0", "Im\xa0", "An\xa0der", "In\xa0der", "Auf\xa0der", "An\nder", "In\nder", "Auf\nder")
 _NUMBER_WORD = re.compile(rf"[0-9][a-z]?,?\s+(?:(?=[{_UP}])|(?:bis|ter|quater|{FR_STREET})\b)")
 _NUMBER_FIRST = re.compile(
     rf"[0-9]++(?![./-])(?:[a-z]?{_S}(?:(?:{_W}{_S}){{1,3}}?(?:{EN_STREET})\b(?:\.(?=,|{_S}[A-Z]{{2}}\d))?(?P<en>,?{_S}(?:{_W},?{_S}{_POST}|{_POST})|,{_S}{_W}(?=[\s,.;:]))?|(?:{_W},?{_S}){{2,4}}(?P<bare>{_POST}))"
@@ -90,8 +89,8 @@ _BEFORE_NUMBER = re.compile(rf"(?:(?:Flat|Unit|Apt\.?){_S}\d+[a-z]?,{_S}|{_W}{_S
 _DE_END = re.compile(rf"(?:{DE_STREET}){_S}\d{{1,4}}(?:{_S}?[a-z]\b)?(?P<tail>,{_S}\d{{5}}{_S}{_W}|{_S}in{_S}\d{{5}}{_S}{_W})?")
 _DE_START = re.compile(rf"{_W}$")
 _WORD_FIRST = re.compile(
-    rf"(?:(?:Am|An der|Im|In der|Zum|Zur|Auf der){_S}{_W}{_S}\d{{1,4}}(?:{_S}?[a-z]\b)?(?P<de>,{_S}\d{{5}}{_S}{_W}|{_S}in{_S}\d{{5}}{_S}{_W})?"
-    rf"|(?:Calle{_S}|Avda\.{_S}|Avenida{_S}|Plaza{_S}|Paseo{_S}|Camino{_S}|Ronda{_S}|Travesía{_S}|C/{_S}?)(?:de{_S}(?:la{_S})?)?{_W},?{_S}(?:n\.?º{_S}?)?\d{{1,4}}(?P<es>(?:,{_S}\d{{1,2}}º(?:{_S}[A-Z]\b)?)?(?:,{_S}\d{{5}}{_S}{_W}|,{_S}{_W})?))"
+    rf"[ACIPRTZ](?:(?:m|n der|uf der|u[mr]){_S}{_W}{_S}\d{{1,4}}(?:{_S}?[a-z]\b)?(?P<de>,{_S}\d{{5}}{_S}{_W}|{_S}in{_S}\d{{5}}{_S}{_W})?"
+    rf"|(?:(?:alle|vda\.|venida|laza|aseo|amino|onda|ravesía){_S}|/{_S}?)(?:de{_S}(?:la{_S})?)?{_W},?{_S}(?:n\.?º{_S}?)?\d{{1,4}}(?P<es>(?:,{_S}\d{{1,2}}º(?:{_S}[A-Z]\b)?)?(?:,{_S}\d{{5}}{_S}{_W}|,{_S}{_W})?))"
 )
 # Starts at the year; the bracket before it is looked for afterwards.
 _REPORT = re.compile(r"[12][890]\d\d(?:[\])]\s+\d+\s+[A-Z][\w ]{0,12}?\s+\d+|\s+[A-Z]{2,}\s+\d+)")
@@ -323,7 +322,9 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
         a, b = m.span()
         if a and (text[a - 1].isalnum() or text[a - 1] in "@#€$£_ \xa0-\n"):
             head = _BLOB_HEAD.search(text, max(0, a - 6), a)
-            if head:
+            if head and _norm(head[0].strip(" -\xa0\r\n")) in _NEAR:  # the word that names the number
+                pass
+            elif head:
                 a -= len(head[0])
             elif text[a - 1] not in " \xa0-\n":
                 continue
@@ -372,7 +373,7 @@ def _addresses(text: str) -> Iterator[tuple[int, int, str, str]]:
             yield w.start(), m.end(), "address", "form=de" + (" tail" if tail else "")
             if tail:
                 yield w.start(), m.end() - len(tail), "address", "form=de tail rcut"
-    for m in _WORD_FIRST.finditer(text) if any(map(text.__contains__, _FIRST_WORDS)) else ():
+    for m in _WORD_FIRST.finditer(text):
         if m.start() and text[m.start() - 1].isalnum():
             continue
         tail, form = m["de"] or m["es"] or "", "form=es" if m["es"] is not None else "form=dw"
@@ -556,10 +557,39 @@ _START = itemgetter(1)
 _CUTS = frozenset(" \t\n\r\x0b\x0c\x85\xa0\u2003\u2009\u202f\u3000.,")
 
 
+_NOTHING = [""]
+_UNKNOWN = (math.inf, math.inf)
+#: Words that may lead a name; the articles do so only after another particle.
+_LEADS = _PART_WORDS - {"der", "den", "dem"}
+_TWO_LEADS = tuple(f"{a}{b}{w} " for a in ("von", "van") for b in (" ", "\n", "  ", "\xa0") for w in ("der", "den", "dem"))
+#: Marks the bounds of runs of several words.
+MULTI = 1e6
+
+
+class Kept(dict):
+    """A bounded memo of a function of short texts; a KeyError of the function means infinity, not kept."""
+
+    def __init__(self, f: Callable[[str], object]):
+        super().__init__()
+        self.f = f
+
+    def __missing__(self, text: str) -> object:
+        try:
+            got = self.f(text)
+        except KeyError:
+            return math.inf
+        if len(self) >= MEMO:
+            self.clear()
+        if len(text) < 64:
+            self[text] = got
+        return got
+
+
 class Decoder:
     def __init__(self, w: dict[str, float]):
         self.w = w
-        self.memo, self.gaps, self.tokens, self.singles, self.mosts, self.item_scores = ({} for _ in range(6))
+        self.memo, self.tokens, self.item_scores, self.met = {}, {}, {}, set()
+        self.bounds, self.befores, self.afters = Kept(self.bound), Kept(self.word_before), Kept(self.word_after)
         # The weights of names again, by what they look up.
         self.bias, self.cap_before, self.cap_after = (w.get(f, 0.0) for f in ("N", "N:capbefore", "N:capafter"))
         self.by_shape, self.left, self.left2, self.right = {}, {}, {}, {}
@@ -582,16 +612,12 @@ class Decoder:
                 self.left2[tuple(x.split(" ", 1))] = v
             elif kind == "N:r":
                 self.right[x] = v
-        # The most a name can gain from the word l1 before it, whatever stands farther left and to its right: of one plain word, of any shape.
+        # The most a name can gain from the word l1 before it, whatever stands farther left and to its right.
         self.most2: dict[str, float] = defaultdict(float)
         for (_, l1), v in self.left2.items():
             self.most2[l1] = max(self.most2[l1], v)
-        self.most_left, self.most_any = {}, {}
-        for l1 in {*self.left, *self.most2, *self.left_right, *self.shape_left}:
-            most = self.left.get(l1, 0.0) + self.most2.get(l1, 0.0) + max(0.0, *self.left_right.get(l1, {0: 0.0}).values())
-            shapes = self.shape_left.get(l1, {})
-            self.most_left[l1] = most + shapes.get("C", 0.0)
-            self.most_any[l1] = max(0.0, most + max(0.0, *shapes.values(), 0.0))
+        self.most_plain = {l1: self.left.get(l1, 0.0) + max(0.0, self.most2.get(l1, 0.0)) + max(0.0, *self.left_right.get(l1, {}).values(), 0.0) + self.shape_left.get(l1, {}).get("C", 0.0) for l1 in {*self.left, *self.most2, *self.left_right, *self.shape_left}}
+        self.most_any = {l1: self.left.get(l1, 0.0) + max(0.0, self.most2.get(l1, 0.0)) + max(0.0, *self.left_right.get(l1, {}).values(), 0.0) + max(0.0, *self.shape_left.get(l1, {}).values(), 0.0) for l1 in {*self.left, *self.most2, *self.left_right, *self.shape_left}}
 
     def token(self, word: str) -> tuple[str, str, float, bool]:
         """(normal form, shape, score, whether it may stand in a name) of a word of a run."""
@@ -642,43 +668,30 @@ class Decoder:
             l2, l1 = l1, own[i][0]
         return out
 
-    def single_score(self, word: str) -> float:
-        """Score of a plain capitalised word as a name of its own, context aside; infinite for other runs."""
-        if any(c in _CUTS for c in word) or len(word) > 1 and word.isupper():
-            got = math.inf
-        else:
-            _, _, score, fit_ = self.token(word)
-            got = score + self.bias + self.by_shape.get("C", 0.0) if fit_ else -math.inf
-        if len(self.singles) >= MEMO:
-            self.singles.clear()
-        if len(word) < MEMO_CHARS:
-            self.singles[word] = got
-        return got
-
-    def most(self, run: str) -> float:
-        """The most any segment of a run scores, what stands around the run aside."""
-        if len(self.mosts) >= MEMO:
-            self.mosts.clear()
-        if run not in self.mosts:  # worth its work where a run comes again
-            if len(run) < MEMO_CHARS:
-                self.mosts[run] = math.inf
-            return math.inf
+    def bound(self, run: str) -> float:
+        """The most a segment of a run scores, what stands around the run aside; MULTI more where the run is no plain word."""
+        if not any(c in _CUTS for c in run) and (len(run) < 2 or not run.isupper()):
+            _, _, score, fit_ = self.tokens.get(run) or self.token(run)
+            return score + self.bias + self.by_shape.get("C", 0.0) if fit_ else -math.inf
+        if len(self.met) >= MEMO:
+            self.met.clear()
+        if run not in self.met:  # worth its work where a run comes again
+            self.met.add(run)
+            raise KeyError
         words = _TOKEN.findall(run)
         second = max(0.0, self.most2.get((self.tokens.get(words[0]) or self.token(words[0]))[0], 0.0))
-        self.mosts[run] = got = max((s + (second if i == 1 else 0.0) for i, _, s in self.names(words, ("\0", "\0"), "\0", -math.inf)), default=-math.inf)
-        return got
+        return MULTI + max((s + (second if i == 1 else 0.0) for i, _, s in self.names(words, ("\0", "\0"), "\0", -math.inf)), default=-math.inf)
 
-    def gap(self, text: str) -> tuple[str, str, bool, str | None]:
-        """What text between two runs says of them: its first and its last word or mark, whether the run after it needs a closer look, and its last but one."""
-        words = _WORDS.findall(text) if len(text) < 64 else [_right(text, 0), *_left(text, len(text))]
-        last = text[-1:]
-        odd = not words or last not in " \n" and (last.isalnum() or last.isspace() or last in "_@\xad") or last in " \n" and words[-1] in _PART_WORDS and _LEAD.search(text) is not None
-        got = (_first_one(words[0]), _first_one(words[-1]), odd, _first_one(words[-2]) if len(words) > 1 else None) if words else ("", "", True, None)
-        if len(self.gaps) >= MEMO:
-            self.gaps.clear()
-        if len(text) < 64:
-            self.gaps[text] = got
-        return got
+    def word_before(self, word: str) -> tuple[float, float]:
+        """The most a plain word and any run can gain from the last blank-separated word before it."""
+        if not word or word in _LEADS:  # a particle may belong to the name
+            return _UNKNOWN
+        l1 = _first_one(_WORDS.findall(word)[-1])
+        return self.most_plain.get(l1, 0.0), max(0.0, self.most_any.get(l1, 0.0))
+
+    def word_after(self, word: str) -> float:
+        """What a name gains from the blank-separated word, or what is left of it, after it."""
+        return self.right.get(_first_one(word), 0.0) if word else math.inf
 
     def items(self, text: str) -> list[tuple[int, int, float, str]]:
         """(start, end, score, kind) of proposals that score over 0; others are in no best set."""
@@ -725,86 +738,51 @@ class Decoder:
         if not raw:
             return []
         text = level(raw)
-        groups = grouped(self.items(text))
-        out: list[tuple[str, int, int]] = []
-        gaps, singles, mosts, most_left, most_any, right = self.gaps, self.singles, self.mosts, self.most_left, self.most_any, self.right
-        left1, left2, shape_left, left_right = self.left, self.left2, self.shape_left, self.left_right
         parts = _RUN.split(text)  # gap, run, gap, run, ..., gap
-        at, over = 0, (len(text) + 1, len(text) + 1, [], [])
-        group = groups[0] if groups else over
-        b = 0
-        after = gaps.get(parts[0]) or self.gap(parts[0])
-        for k in range(1, len(parts), 2):
-            run = parts[k]
-            a = b + len(parts[k - 1])
-            b = a + len(run)
-            before, after = after, gaps.get(parts[k + 1]) or self.gap(parts[k + 1])
-            if b > group[0]:
-                while group[1] <= a:
-                    at += 1
-                    group = groups[at] if at < len(groups) else over
-                if b > group[0]:  # the run and the items it meets are one stretch
-                    group[3].append((a, b))
-                    group[0], group[1] = min(a, group[0]), max(b, group[1])
-                    while at + 1 < len(groups) and groups[at + 1][0] < group[1]:
-                        more = groups.pop(at + 1)
-                        group[1] = max(group[1], more[1])
-                        group[2].extend(more[2])
-                    continue
-            # Nothing overlaps. Most runs score under 0 whatever stands farther away.
-            if not before[2] and after[0]:
-                s = singles.get(run)
-                if s is None:
-                    s = self.single_score(run)
-                if s + most_left.get(before[1], 0.0) + right.get(after[0], 0.0) <= 0:
-                    continue
-                if s < math.inf:
-                    l1, r1 = before[1], after[0]
-                    l2 = before[3] if before[3] is not None else _left(text, a)[0]
-                    s += left1.get(l1, 0.0) + left2.get((l2, l1), 0.0) + right.get(r1, 0.0)
-                    if l1 in shape_left:
-                        s += shape_left[l1].get("C", 0.0)
-                    if l1 in left_right:
-                        s += left_right[l1].get(r1, 0.0)
-                    if s > 0:
-                        out.append(("name", a, b))
-                    continue
-                else:
-                    s = mosts.get(run, math.inf)
-                    if s == math.inf:
-                        s = self.most(run)
-                    if s + most_any.get(before[1], 0.0) + max(0.0, right.get(after[0], 0.0)) <= 0:
-                        continue
-                left, lead = (before[3], before[1]) if before[3] is not None else _left(text, a), a
-            else:
-                lead = begin(text, a, b)
-                if lead < 0:
-                    continue
-                if lead != a:
-                    run = text[lead:b]
-                left = _left(text, lead)
-                s = mosts.get(run, math.inf)
-                if s == math.inf:
-                    s = self.most(run)
-                if s + most_any.get(left[1], 0.0) + (max(0.0, right.get(after[0], 0.0)) if after[0] else math.inf) <= 0:
-                    continue
-            for x, y in self.run_alone(run, left, after[0] or _right(text, b)):
-                out.append(("name", lead + x, lead + y))
-        for _, _, items, own in groups:
-            if len(items) == 1 and not own:
-                chosen = [(items[0][3], items[0][0], items[0][1])]
-            else:
-                spans = [(a, b, s, (k, a, b)) for a, b, s, k in items]
-                for a, b in own:
-                    a = begin(text, a, b)
-                    if a < 0:
-                        continue
-                    named = self.names(_TOKEN.findall(text, a, b), _left(text, a), _right(text, b))
+        runs_, gaps = parts[1::2], parts[::2]
+        n = len(runs_)
+        ends = list(accumulate(map(len, parts)))  # of gaps at 0, 2, ..., of runs at 1, 3, ...
+        starts, ends = ends[0:-1:2], ends[1::2]
+        # Most runs score under 0 whatever stands farther away from them.
+        bounds, before, after = self.bounds, self.befores, self.afters
+        left = [before[(g.rsplit(None, 1) or _NOTHING)[-1]] if (c := g[-1:]) == " " and not g.endswith(_TWO_LEADS) or c == "\n" else _UNKNOWN if not c or c.isspace() or c.isalnum() or c in "_@\xad" else before[g.rsplit(None, 1)[-1]] for g in gaps[:-1]]
+        right = [after[(g.split(None, 1) or _NOTHING)[0]] for g in gaps[1:]]
+        open_ = [s + x[0] + y > 0 if s < MULTI / 2 else s - MULTI + x[1] + (y if y > 0 else 0.0) > 0 for s, x, y in zip(map(bounds.__getitem__, runs_), left, right)]
+        out: list[tuple[str, int, int]] = []
+        groups = grouped(self.items(text))
+        at = 0
+        while at < len(groups):  # a run and the items it meets are one stretch
+            group = groups[at]
+            lo = hi = bisect_right(ends, group[0])
+            while hi < n and starts[hi] < group[1]:
+                group[1] = max(group[1], ends[hi])
+                hi += 1
+                while at + 1 < len(groups) and groups[at + 1][0] < group[1]:
+                    more = groups.pop(at + 1)
+                    group[1] = max(group[1], more[1])
+                    group[2].extend(more[2])
+            items = group[2]
+            spans = [(a, b, s, (k, a, b)) for a, b, s, k in items]
+            for k in range(lo, hi):
+                if open_[k]:
+                    b = ends[k]
+                    a = begin(text, starts[k], b)
+                    named = self.names(_TOKEN.findall(text, a, b), _left(text, a), _right(text, b)) if a >= 0 else ()
                     if named:
                         cut = [t.span() for t in _TOKEN.finditer(text, a, b)]
                         spans += [(cut[i][0], cut[j - 1][1], s, ("name", cut[i][0], cut[j - 1][1])) for i, j, s in named]
-                chosen = best_set(spans) if len(spans) > 1 else [spans[0][3]]
-            out += [x for x in chosen if x[0] in KINDS]
+            out += [x for x in (best_set(spans) if len(spans) > 1 else [spans[0][3]]) if x[0] in KINDS]
+            open_[lo:hi] = [False] * (hi - lo)
+            at += 1
+        for k in compress(range(n), open_):
+            a, b, run = starts[k], ends[k], runs_[k]
+            lead = a if left[k] is not _UNKNOWN and text[a - 1] == " " else begin(text, a, b)
+            if lead < 0:
+                continue
+            if lead != a:
+                run = text[lead:b]
+            for x, y in self.run_alone(run, _left(text, lead), _right(text, b)):
+                out.append(("name", lead + x, lead + y))
         out.sort(key=_START)
         return out
 
@@ -939,22 +917,24 @@ def lattices(text: str, words: set[str], names: list[tuple[int, int]] | None = N
 
 # Words after which a number is no house number.
 _NO_PLACE = {"§", "art", "nr", "no", "n", "núm", "article", "artículo", "abs", "section"}
-# Sentences of no collection, with {n} for a full name, {s} for a surname, {c} for a word of calendar or map; their labels are known.
-PLAIN = """{n} lives in {c} and works for the city.|On {c} {n} went to {c}.|{n} called from {c} last {c}.|We met {n} in {c}.|The letter from {n} came on {c}.|{c} was cold that year.|Mrs {s} spoke to {n}.|Yesterday {n} said that {c} is near.|In {c} the office is closed on {c}.|The office in {c} is closed.|{n} and {n} signed it.|It was written by {n}, of {c}.|Please write to {n} before {c}.|They moved from {c} to {c} in {c}.
-{n} wohnt in {c}.|Am {c} kam {n} nach {c}.|Frau {s} traf {n} in {c}.|Der Brief von {n} kam im {c}.|In {c} ist das Amt am {c} geschlossen.|Gestern sagte {n}, dass {c} nahe ist.|{n} und {n} haben unterschrieben.|Das Amt in {c} bleibt zu.
-{n} habite à {c}.|Madame {s} a vu {n} à {c}.|La lettre de {n} est arrivée en {c}.|Hier {n} a dit que {c} est proche.|Le bureau de {c} est fermé.|{n} et {n} ont signé.
-{n} vive en {c}.|La señora {s} vio a {n} en {c}.|La carta de {n} llegó en {c}.|Ayer {n} dijo que {c} está cerca.|La oficina de {c} está cerrada.|{n} y {n} firmaron."""
+# Sentences of no collection, with {n} for a full name, {s} for a surname, {c} for a word of calendar or map, {i}, {p} and {a} for an identity number, a phone number and an address.
+PLAIN = """{n} lives in {c} and works for the city.|On {c} {n} went to {c}.|{n} called from {c} last {c}.|We met {n} in {c}.|The letter from {n} came on {c}.|{c} was cold that year.|Mrs {s} spoke to {n}.|Yesterday {n} said that {c} is near.|In {c} the office is closed on {c}.|The office in {c} is closed.|{n} and {n} signed it.|It was written by {n}, of {c}.|Please write to {n} before {c}.|They moved from {c} to {c} in {c}.|Passport no. {i} was lost.|The SSN {i} is on file.|Her passport {i} and phone {p} were noted.|Call {p} today.|The phone number is {p}.|Invoice {i} was paid.|Order no. {i} came late.|{n} lives at {a}.|The house at {a} was sold.
+{n} wohnt in {c}.|Am {c} kam {n} nach {c}.|Frau {s} traf {n} in {c}.|Der Brief von {n} kam im {c}.|In {c} ist das Amt am {c} geschlossen.|Gestern sagte {n}, dass {c} nahe ist.|{n} und {n} haben unterschrieben.|Das Amt in {c} bleibt zu.|Der Reisepass {i} fehlt.|Telefon {p} ist besetzt.|Die Rechnung {i} ist bezahlt.
+{n} habite à {c}.|Madame {s} a vu {n} à {c}.|La lettre de {n} est arrivée en {c}.|Hier {n} a dit que {c} est proche.|Le bureau de {c} est fermé.|{n} et {n} ont signé.|Le passeport {i} manque.|Le téléphone {p} sonne.|La facture {i} est payée.
+{n} vive en {c}.|La señora {s} vio a {n} en {c}.|La carta de {n} llegó en {c}.|Ayer {n} dijo que {c} está cerca.|La oficina de {c} está cerrada.|{n} y {n} firmaron.|El pasaporte {i} falta.|El teléfono {p} suena.|La factura {i} está pagada."""
+ID_FORMS, PHONE_FORMS = ("AA9999999", "999-99-9999", "A99999999", "99999999A", "C99A9AA99", "99 99 99 99 999"), ("+44 99 9999 9999", "(999) 999-9999", "999-999-9999", "099 99999999", "99 99 99 99 99", "999 999 999")
 SURNAMES = "Smith Jones Taylor Brown Wilson Walker Wright Green Hall Clarke Müller Schmidt Schneider Fischer Weber Wagner Becker Hoffmann Martin Bernard Dubois Moreau Laurent Lefebvre Girard García Rodríguez González Gonzalez Fernández López Martínez Sánchez Pérez Gómez Villanueva Torres Romero".split()
 
 
-def plain_sentences(n: int = 4000, seed: int = 7) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+def plain_sentences(n: int = 15_000, seed: int = 7) -> Iterator[tuple[str, list[tuple[int, int]]]]:
     """Sentences with the places of their names; given names and surnames are drawn from short public lists."""
     rng = random.Random(seed)
     forms = [f for line in PLAIN.split("\n") for f in line.split("|")]
     given, other = GIVEN.split(), NO_NAME.split()
     for _ in range(n):
         text, names = "The case is old. ", []
-        for part in re.split(r"(\{[nsc]\})", rng.choice(forms)):
+        digits = lambda form: "".join(str(rng.randint(0, 9)) if c == "9" else rng.choice("ABCDEFGHJKLMNPRSTVWXYZ") if c == "A" else c for c in form)
+        for part in re.split(r"(\{[nscipa]\})", rng.choice(forms)):
             if part in ("{n}", "{s}"):
                 s = rng.choice(SURNAMES)
                 if part == "{n}":
@@ -962,7 +942,7 @@ def plain_sentences(n: int = 4000, seed: int = 7) -> Iterator[tuple[str, list[tu
                 names.append((len(text), len(text) + len(s)))
                 text += s
             else:
-                text += rng.choice(other) if part == "{c}" else part
+                text += rng.choice(other) if part == "{c}" else digits(rng.choice(ID_FORMS)) if part == "{i}" else digits(rng.choice(PHONE_FORMS)) if part == "{p}" else digits(f"9{rng.choice(('', '9'))} {rng.choice(('Broadway', 'Cornmarket', 'Old Quay', 'The Green', 'Strand'))}, {rng.choice(('Ashby', 'Kirkton', 'Weston'))} AA9 9AA") if part == "{a}" else part
         yield text + " That is all.", names
 
 

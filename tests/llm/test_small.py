@@ -327,3 +327,38 @@ def test_items_and_redaction(spark):
     out = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert out[1] == text.replace("Idris Tedgate", "[NAME]").replace("Tarnbourne", "[NAME]") and out[2] is None and out[3] == ""
     assert pii.find_items(df.limit(0)).count() == 0
+
+
+LONG = "a" * 120
+PLAIN = {
+    "Yesterday Maria Gonzalez went to Chicago on Monday with her brother from London.": [("name", "Maria Gonzalez")],
+    "Her Passport no. AB1234567 was lost, and so was SSN 123-45-6789 of the file.": [("id_number", "AB1234567"), ("id_number", "123-45-6789")],
+    f"Write to {LONG}@mail.example.org before noon.": [("email", f"{LONG}@mail.example.org")],
+    "Mrs María de la Concepción García de la Torre spoke first.": [("name", "María de la Concepción García de la Torre")],
+    "Der Zeuge José María de la Cruz y Villanueva gab an, dass es so war.": [("name", "José María de la Cruz y Villanueva")],
+    "The house at 12 Broadway, Ashby AB1 2CD was sold.": [("address", "12 Broadway, Ashby AB1 2CD")],
+    "Im Mai wohnte Klaus Becker in Berlin, Hauptstraße 5, 10115 Berlin.": [("name", "Klaus Becker"), ("address", "Hauptstraße 5, 10115 Berlin")],
+}
+
+
+@pytest.mark.parametrize("text", PLAIN)
+def test_plain_sentences(text):
+    assert [(k, text[a:b]) for k, a, b in pii.shared_decoder().find(text)] == PLAIN[text]
+
+
+def test_long_runs_and_words_are_read_whole():
+    text = "So it was. " + "Alpha " * 63 + "Anna Maria Müller said so. It was late."
+    assert "Anna Maria Müller" in [text[a:b] for _, a, b in pii.shared_decoder().find(text)]
+    far = "x" * 500 + " Mr  " + "W" + "e" * 300 + "ll was there."
+    assert [(a, b) for k, a, b in pii.shared_decoder().find(far)] == [(505, 808)]
+
+
+def test_bounds_prune_nothing_that_scores():
+    """Every run decoded alone gives what the whole text gives."""
+    d = pii.shared_decoder()
+    for text in [*TEXTS, *PLAIN, *SURNAMES]:
+        spans = [(a, b, s, (k, a, b)) for a, b, s, k in d.items(text)]
+        for a, b in pii.runs(text):
+            cut = [t.span() for t in pii._TOKEN.finditer(text, a, b)]
+            spans += [(cut[i][0], cut[j - 1][1], s, ("name", cut[i][0], cut[j - 1][1])) for i, j, s in d.names([text[x:y] for x, y in cut], pii._left(text, a), pii._right(text, b))]
+        assert [x for x in pii.best_set(spans) if x[0] in pii.KINDS] == d.find(text)

@@ -45,12 +45,21 @@ _KIND = {a: k for k, v in STREETS.items() for a in v.split()}
 _FOLD = {ord(p[0]): p[1] for p in f"{CYRILLIC} {GREEK} {IDEOGRAPHS}".split(" ")} | {int(c, 16): "" for c in INVISIBLE.split()}
 _DASH = {int(c, 16): "-" for c in DASHES.split() if c not in ("30fc", "ff70")}
 _N = r"(?:\d+|[一二三四五六七八九十]+)"
-_JP = re.compile(rf"^(?:〒?(\d{{3}})-?(\d{{4}}))?(?:日本)?([^\d]{{1,4}}?[都道府県])?([^\d]{{2,5}}?[市区町村郡])?([^\d]*?)(?:({_N})(?:丁目|-))?(\d+)(?:番地の?|番|-|の)(\d+)号?(.*)$")
+_JP = re.compile(rf"^(?:〒?(\d{{3}})-?(\d{{4}}))?(?:日本)?([^\d]{{1,4}}?[都道府県])?([^\d市区町村郡]区|[^\d市区町村郡]市(?![^\d]{{1,3}}区)|[^\d]{{2,5}}?[市区町村郡])?([^\d]*?)(?:({_N})(?:丁目|-))?(\d+)(?:番地の?|番|-|の)(\d+)号?(.*)$")
 _ROMAJI = re.compile(r"(?<![\d-])(\d+)-(\d+)-(\d+)(?![\d-])")
 _ZIP = re.compile(r"(?<!\d)(\d{3})-(\d{4})(?!\d)")
 _POST = re.compile(r"\b([a-z]{1,2}\d{1,2}[a-z]?)\s?(\d{1,2}[a-z]{2})\b")
 _LEVEL = re.compile(r"\b(?:(?:ground|first|second|third|fourth|top|basement|\d+(?:st|nd|rd|th)?)\s+floor|(?:flat|unit|apt|apartment|suite|room|floor)\.?\s+\w+)\b")
-_STREET = re.compile(r"([^\W\d_][^\d,/()]*?)\s+(" + "|".join(sorted(map(re.escape, _KIND), key=len, reverse=True)) + r")\b\.?")
+_KIND_WORD = re.compile(r"\s(" + "|".join(sorted(map(re.escape, _KIND), key=len, reverse=True)) + r")\b\.?")
+_DELIMITERS = "0123456789,/()"
+# Kinds of street of other languages, as endings and as words before the name.
+ENDINGS = {"strasse": "straße strasse str", "weg": "weg", "gasse": "gasse", "platz": "platz", "allee": "allee", "ring": "ring", "damm": "damm", "ufer": "ufer"}
+LEADING = {"rue": "rue", "avenue": "avenue av", "place": "place pl", "boulevard": "boulevard bd blvd", "chemin": "chemin ch", "quai": "quai", "impasse": "impasse", "calle": "calle c/", "avenida": "avenida avda av", "plaza": "plaza pza", "paseo": "paseo pso", "camino": "camino", "via": "via", "piazza": "piazza"}
+_ENDING = [(a, k) for k, v in ENDINGS.items() for a in sorted(v.split(), key=len, reverse=True)]
+_LEADING = {a: k for k, v in LEADING.items() for a in v.split()}
+_ZIP5 = re.compile(r"(?<![\w-])(?:[a-z]-)?(\d{5})(?![\w-])")
+_HOUSE = re.compile(r"(?<![\w.-])(\d{1,4})\s?([a-d])?(?![\w.])")
+_NO = re.compile(r"\b(?:no|nr|n|núm|num)\.?º?\s*(?=\d)")
 _CJK = re.compile("[㐀-鿿]")
 
 PARTS = ["zip", "region", "town", "street", "kind", "number"]
@@ -72,8 +81,12 @@ def fold(text: str) -> str:
 
 
 def parse(address: str | None) -> tuple[str | None, ...] | None:
-    """(zip, region, town, street, kind, number), each null if absent; None if no numbered place is named."""
-    if not address or len(address) > 2000:
+    """(zip, region, town, street, kind, number), each null if absent; None if no numbered place is named.
+
+    An address of any length is read; romanised ones without a postcode are placed
+    by their names, Latin ones without an English kind of street by ``other_latin``.
+    """
+    if not address:
         return None
     s = fold(address).strip()
     if _CJK.search(s):
@@ -92,26 +105,69 @@ def parse(address: str | None) -> tuple[str | None, ...] | None:
     if (m := _ROMAJI.search(s)) and not _POST.search(s):
         z = _ZIP.search(s)
         # The postcode says where; the romanised names stay out of the comparison.
-        return (z[1] + z[2], None, None, None, "jp", "-".join(str(int(x)) for x in m.groups())) if z else None
+        number = "-".join(str(int(x)) for x in m.groups())
+        if z:
+            return (z[1] + z[2], None, None, None, "jp", number)
+        names = [re.sub(r"-(?:cho|machi|shi|ku|gun|mura|son|ken|fu|to)$", "", x) for x in _names(s[: m.start()] + "," + s[m.end() :]) if x not in ("japan", "nippon")]
+        return (None, names[2] if len(names) > 2 else None, names[1] if len(names) > 1 else None, names[0], "jp", number) if names else None
     zipcode = None
     if m := _POST.search(s):
         zipcode, s = m[1] + m[2], s[: m.start()] + "," + s[m.end() :]
     s = re.sub(r"\bno\.?\s*(?=\d)", "", _LEVEL.sub(",", s))
-    m = _STREET.search(s)
-    if not m:
-        return None
-    street, kind = re.sub(r"[^\w' -]", "", m[1]).strip(), _KIND[m[2]]
-    rest = s[: m.start()] + "," + s[m.end() :]
+    for m in _KIND_WORD.finditer(s):
+        k = m.start()
+        while k and s[k - 1] not in _DELIMITERS:
+            k -= 1
+        while k < m.start() and not s[k].isalpha():
+            k += 1
+        if k < m.start():
+            break
+    else:
+        return other_latin(zipcode, s)
+    street, kind = re.sub(r"[^\w' -]", "", s[k : m.start()]).strip(), _KIND[m[1]]
+    rest = s[:k] + "," + s[m.end() :]
     n = re.search(r"\d+\s?[a-d]?\b(?!\w)", rest)
     if not n or not street:
-        return None
-    names = [x.strip(" .-'") for x in re.split(r"[,/()\n]|\s{2,}", rest[: n.start()] + "," + rest[n.end() :])]
-    names = [x for x in names if x and re.search(r"[^\W\d_]{2}", x)]
+        return other_latin(zipcode, s)
+    names = _names(rest[: n.start()] + "," + rest[n.end() :])
     region = next((x for x in names if x.endswith("shire")), None)
     town = next((x for x in names if x != region), None)
     return (zipcode, region, town, street, kind, n[0].replace(" ", "").lstrip("0"))
 
 
+def _names(text: str) -> list[str]:
+    """What stands between commas and the like and has two letters together."""
+    return [x for x in (x.strip(" .-'") for x in re.split(r"[,/()\n]|\s{2,}", text)) if x and re.search(r"[^\W\d_]{2}", x)]
+
+
+def other_latin(zipcode: str | None, s: str) -> tuple[str | None, ...] | None:
+    """As ``parse`` for forms without an English kind of street: the house number stands beside the street's name."""
+    if not zipcode and (m := _ZIP5.search(s)):
+        zipcode, s = m[1], s[: m.start()] + "," + s[m.end() :]
+    s = _NO.sub("", s)
+    m = _HOUSE.search(s)
+    if not m:
+        return None
+    lo = max(s.rfind(c, 0, m.start()) for c in ",/()\n") + 1
+    hi = min((k for c in ",/()\n" if (k := s.find(c, m.end())) >= 0), default=len(s))
+    own = next((x for x in (s[lo : m.start()], s[m.end() : hi]) if re.search(r"[^\W\d_]{2}", x)), None)
+    rest = s[:lo] + "," + s[hi:]
+    if own is None:  # the number stands between commas of its own
+        before = _names(s[:lo])
+        own = before[-1] if before else None
+        if own is None:
+            return None
+        rest = rest.replace(own, ",", 1)
+    street, kind = re.sub(r"[^\w' -]", "", own).strip(" -'"), "other"
+    first, _, more = own.strip().partition(" ") if not own.strip().startswith("c/") else ("c/", "", own.strip()[2:])
+    if (word := first.rstrip(".")) in _LEADING and more.strip():
+        street, kind = re.sub(r"[^\w' -]", "", more).strip(" -'"), _LEADING[word]
+    elif hit := next(((a, k) for a, k in _ENDING if street.rstrip(".").endswith(a) and len(street) > len(a)), None):
+        street, kind = street.rstrip(".")[: -len(hit[0])].strip(" -"), hit[1]
+    names = _names(rest)
+    return (zipcode, None, names[0] if names else None, street, kind, m[1].lstrip("0") + (m[2] or "")) if street else None
+
+
 def parsed(holders: DataFrame) -> DataFrame:
     """(id, PARTS) of the rows of (id, address) that name a numbered place; each distinct text is parsed where it is read."""
     ship(holders.sparkSession)
@@ -126,19 +182,23 @@ def parsed(holders: DataFrame) -> DataFrame:
 
 
 def completed(rows: DataFrame) -> DataFrame:
-    """Fills town, street, kind and region from what is usual for the postcode and the town.
+    """Fills town, street, kind and region of distinct spellings (``spelling``, PARTS, ``n`` rows) from what is usual for the postcode and the town.
 
-    Adds ``known``: the street is the usual one of some postcode.
+    Adds ``known``: the street is the usual one of some postcode. Rows that lack
+    the key of a join are spread by their spelling.
     """
-    usual = lambda *c: F.max_by(F.struct(*c), "n")
-    full = rows.where("zip is not null and town is not null and street is not null").groupBy("zip", "town", "street", "kind").agg(F.count("*").alias("n"))
-    by_zip = full.groupBy("zip").agg(F.max_by(F.struct("town", "street", "kind"), F.struct("n", "town", "street")).alias("u")).select("zip", F.col("u.town").alias("_t"), F.col("u.street").alias("_s"), F.col("u.kind").alias("_k"))
-    by_town = rows.where("town is not null and region is not null").groupBy("town", "region").agg(F.count("*").alias("n")).groupBy("town").agg(F.max_by("region", F.struct("n", "region")).alias("_r"))
-    known = by_zip.select(F.col("_t").alias("town"), F.col("_s").alias("street")).distinct().withColumn("known", F.lit(True))
-    rows = rows.join(by_zip, "zip", "left")
-    rows = rows.select("id", "zip", "region", F.coalesce("town", "_t").alias("town"), F.coalesce("street", "_s").alias("street"), "kind", "number")
-    rows = rows.join(by_town, "town", "left").withColumn("region", F.coalesce("region", "_r")).drop("_r")
-    return rows.join(known, ["town", "street"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+    def spread(df: DataFrame, *keys: str) -> DataFrame:
+        return df.withColumns({f"_j{k}": F.coalesce(F.col(c), F.concat(F.lit("\x00"), F.col("spelling").cast("string"))) for k, c in enumerate(keys)})
+
+    full = rows.where("zip is not null and town is not null and street is not null").groupBy("zip", "town", "street", "kind").agg(F.sum("n").alias("n"))
+    by_zip = full.groupBy("zip").agg(F.max_by(F.struct("town", "street", "kind"), F.struct("n", "town", "street")).alias("u")).select(F.col("zip").alias("_j0"), F.col("u.town").alias("_t"), F.col("u.street").alias("_s"))
+    by_town = rows.where("town is not null and region is not null").groupBy("town", "region").agg(F.sum("n").alias("n")).groupBy("town").agg(F.max_by("region", F.struct("n", "region")).alias("_r")).withColumnRenamed("town", "_j0")
+    known = by_zip.select(F.col("_t").alias("_j0"), F.col("_s").alias("_j1")).distinct().withColumn("known", F.lit(True))
+    rows = spread(rows, "zip").join(by_zip, "_j0", "left")
+    rows = rows.select("spelling", "n", "zip", "region", F.coalesce("town", "_t").alias("town"), F.coalesce("street", "_s").alias("street"), "kind", "number")
+    rows = spread(rows, "town").join(by_town, "_j0", "left").withColumn("region", F.coalesce("region", "_r")).drop("_r", "_j0")
+    return spread(rows, "town", "street").join(known, ["_j0", "_j1"], "left").withColumn("known", F.coalesce("known", F.lit(False))).drop("_j0", "_j1")
 
 
 def sound(street: Column) -> Column:
@@ -159,11 +219,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     by_zip = F.when(F.col("zip").isNotNull(), F.array(block(F.lit("z"), "zip", "number")))
     keyed = nodes.select("node", *PARTS, "known", F.explode(F.concat(F.coalesce(by_zip, F.array().cast("array<string>")), F.coalesce(by_sound, F.array().cast("array<string>")))).alias("block"))
     keyed = keyed.select(F.xxhash64("block").alias("block"), "node", F.struct("node", *PARTS, "known").alias("x"))
-    # Blocks of one node are dropped before the join.
-    several = keyed.groupBy("block").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("block")
-    keyed = cut(keyed.join(several, "block", "left_semi"))
-    a, b = keyed.select("block", F.col("x").alias("a")), keyed.select("block", F.col("x").alias("b"))
-    return a.join(b, "block").where(F.col("a.node") < F.col("b.node")).select("a", "b").dropDuplicates(["a", "b"])
+    return pairs_of_groups(cut(keyed), ["block"], "node", carry="x").select(F.col("x_a").alias("a"), F.col("x_b").alias("b")).dropDuplicates(["a", "b"])
 
 
 def compared(pairs: DataFrame) -> DataFrame:
@@ -185,11 +241,11 @@ def compared(pairs: DataFrame) -> DataFrame:
 
 
 def chance(nodes: DataFrame, parts: list[str]) -> dict[str, dict[int, float]]:
-    """u of each level: how often two rows drawn at random agree, are close or lack a part."""
-    total = max(nodes.count(), 1)
+    """u of each level: how often two rows drawn at random agree, are close or lack a part; a node counts ``n`` rows."""
+    total = max(nodes.agg(F.sum("n").alias("n")).first().n or 0, 1)
     out = {}
     for p in parts:
-        same = lambda c: nodes.where(F.col(p).isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n")).agg(F.sum(F.col("n").cast("double") ** 2).alias("s"), F.sum("n").alias("n")).first()  # noqa: B023, E731
+        same = lambda c: nodes.where(F.col(p).isNotNull()).groupBy(c.alias("v")).agg(F.sum("n").alias("n")).agg(F.sum(F.col("n").cast("double") ** 2).alias("s"), F.sum("n").alias("n")).first()  # noqa: B023, E731
         exact, loose = same(F.col(p)), same(F.array_join(F.sort_array(F.split(sound(F.col(p)), "")), ""))
         have = (exact.n or 0) / total
         equal = max((exact.s or 0) / total**2, 1 / total**2)
@@ -236,15 +292,20 @@ def places(holders: DataFrame) -> DataFrame:
 
     Null, blank and placeholder addresses and such without a house number name
     no place and have no row; repeated rows stay; an empty table has no rows.
+    Only distinct spellings are completed, blocked and compared.
     """
-    rows = cut(completed(parsed(holders)).withColumn("node", F.xxhash64(*(F.coalesce(F.col(p), F.lit("\x00")) for p in PARTS))))
-    nodes = cut(rows.select("node", *PARTS, "known").dropDuplicates(["node"]))
+    of = lambda: F.xxhash64(*(F.coalesce(F.col(p), F.lit("\x00")) for p in PARTS))
+    rows = cut(parsed(holders).withColumn("spelling", of()))
+    spellings = rows.groupBy("spelling").agg(*(F.first(p).alias(p) for p in PARTS), F.count("*").alias("n"))
+    spellings = cut(completed(cut(spellings)).withColumn("node", of()))
+    nodes = cut(spellings.groupBy("node").agg(*(F.first(c).alias(c) for c in [*PARTS, "known"]), F.sum("n").alias("n")))
+    rows = rows.select("id", "spelling").join(spellings.select("spelling", "node"), "spelling")
     pairs = cut(compared(candidates(nodes)))
     parts = ["zip", "region", "town", "street", "kind"]
     counts = [(tuple(r[p] for p in parts), r["count"]) for r in pairs.groupBy(*parts).count().collect()]  # at most 5^5 rows
     spark = holders.sparkSession
     if counts:
-        u = chance(rows, parts)
+        u = chance(nodes, parts)
         post = weigh(counts, [u[p] for p in parts])
         good = spark.createDataFrame([(*g, True) for g, w in post.items() if w >= MATCH_FROM] or [(9,) * 5 + (True,)], ", ".join(f"{p} int" for p in parts) + ", ok boolean")
         label = components(pairs.join(F.broadcast(good), parts, "left_semi"))

@@ -207,7 +207,10 @@ def test_current_values(spark):
 @pytest.mark.parametrize(
     "text, want",
     [("〒123-4567 青森県弘前市本町1丁目2番3号 ホテル5F", ("1234567", "青森県", "弘前市", "本町", "jp", "1-2-3")), ("弘前市　本町　二丁目８–２９", (None, None, "弘前市", "本町", "jp", "2-8-29")), ("〒１２３４５６７本町３ ー １０ ー ２", ("1234567", None, None, "本町", "jp", "3-10-2")), ("1-12-3 Honcho, Hirosaki, Aomori 123-4567", ("1234567", None, None, None, "jp", "1-12-3")),
-     ("No. 12 Mill Rd., Ashby (Kentshire) AB12CD", ("ab12cd", "kentshire", "ashby", "mill", "road", "12")), ("Ground floor, AB1 2CD, Ashby, Mill Road 12", ("ab12cd", None, "ashby", "mill", "road", "12")), ("準備中", None), ("", None), (None, None), ("N/A", None), ("x" * 5000, None)],
+     ("No. 12 Mill Rd., Ashby (Kentshire) AB12CD", ("ab12cd", "kentshire", "ashby", "mill", "road", "12")), ("Ground floor, AB1 2CD, Ashby, Mill Road 12", ("ab12cd", None, "ashby", "mill", "road", "12")), ("準備中", None), ("", None), (None, None), ("N/A", None), ("x" * 5000, None),
+     ("東京都港区芝公園4丁目2番8号", (None, "東京都", "港区", "芝公園", "jp", "4-2-8")), ("1-2-3 Sakura, Minami-ku, Osaka", (None, "osaka", "minami", "sakura", "jp", "1-2-3")), ("Hauptstraße 5, 10115 Berlin", ("10115", None, "berlin", "haupt", "strasse", "5")), ("Hauptstr. 5, 10115 Berlin", ("10115", None, "berlin", "haupt", "strasse", "5")),
+     ("12 rue de la Paix, 75002 Paris", ("75002", None, "paris", "de la paix", "rue", "12")), ("Calle Mayor, 5, 28013 Madrid", ("28013", None, "madrid", "mayor", "calle", "5")), ("12 Broadway, Ashby AB1 2CD", ("ab12cd", None, "ashby", "broadway", "other", "12")),
+     ("Mill House " * 400 + ", 12 Mill Road, Ashby AB1 2CD", ("ab12cd", None, ("mill house " * 400).strip(), "mill", "road", "12"))],
 )
 def test_parse_address(text, want):
     assert A.parse(text) == want

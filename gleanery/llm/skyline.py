@@ -1,11 +1,22 @@
 """One surviving record for each group of duplicates, field by field.
 
-For every field the rows of a cluster that hold a usable value are compared by
-completeness of their record, recency and trust. The skyline keeps the rows no
-other row matches or beats in all three; a lexicographic policy (trusted at all,
-then recency, trust, completeness, smallest id) picks one of them. Rows without
-a usable value are not in the field's layers, so a gap of the best record is
-filled from the next dominance layers.
+The rows of a cluster are compared by completeness, recency and trust: a row beats
+another if it is at least as recent and as trusted, has a usable value in every
+field the other has, and is better in one of these. Rows no other beats are the
+first dominance layer (the skyline), those beaten by rows of the first layer only
+the second, and so on. A lexicographic policy (trusted at all, then recency,
+trust, completeness, smallest id) picks the survivor of the first layer; each
+field it lacks is filled by the policy from the first layer that holds a usable
+value, layer after layer.
+
+Completeness is compared as a set of fields, not as their number: counted, a row
+without a telephone number could beat, and so hide, the row whose number holds
+now (on sf0.1 in 8 of 5,026 values).
+
+Before layers are made, each cluster is reduced to the policy's best row of each
+set of fields, trusted and not: no other row of that set can be taken, as it holds
+no field the best lacks and ranks behind it. So a cluster of any size is reduced
+by partial aggregation, and at most 2 x 2^7 rows of it are ever together.
 """
 
 from __future__ import annotations
@@ -17,8 +28,6 @@ from .common import cut
 
 #: Confidence from which a row counts as trusted.
 TRUSTED = 0.6
-#: Rows compared with each other in one task and round.
-GROUP_ROWS = 512
 # Spellings of no value.
 PLACEHOLDERS = ["", "-", "--", "―", "n/a", "na", "none", "null", "nil", "unknown", "tbd", "tba", "準備中", "未定", "不明", "なし", "未設定", "未登録", "?", "??", "???"]
 
@@ -41,81 +50,84 @@ def usable(field: str, value: Column) -> Column:
     return F.when(some & rule, value)
 
 
+FIELDS = TEXT_FIELDS + JSON_FIELDS
+
+
 def points(clusters: DataFrame, entities: DataFrame, records: DataFrame) -> DataFrame:
-    """Rows (cluster_id, field, entity_id, value, complete, recent, trust) with a usable value.
+    """Rows (cluster_id, entity_id, trust, recent, held, values, marks) of the clusters' entities.
 
-    Trust is the confidence of the entity's latest extracted record, 0 if it has
-    none; an undated row is the oldest. Entities in no cluster are left out.
+    ``values`` are those of FIELDS, null where not usable, ``marks`` their hashes,
+    ``held`` has a bit for each usable one. Trust is the confidence of the entity's
+    latest extracted record, 0 if it has none; an undated row is the oldest.
+    Entities in no cluster are left out.
     """
     members = clusters.select("cluster_id", "entity_id").where("cluster_id is not null").dropDuplicates()
-    latest = records.where("entity_id is not null").select("entity_id", "confidence", "extracted_at").join(members.select("entity_id").distinct(), "entity_id", "left_semi").groupBy("entity_id").agg(F.max_by("confidence", F.coalesce("extracted_at", F.lit("0001-01-01").cast("timestamp_ntz"))).alias("trust"))
-    values = {f: usable(f, F.col(f)) for f in TEXT_FIELDS} | {f: usable(f, F.get_json_object("data_json", f"$.{f}")) for f in JSON_FIELDS}
+    oldest = F.lit("0001-01-01").cast("timestamp_ntz")
+    latest = records.where("entity_id is not null").select("entity_id", "confidence", "extracted_at").join(members.select("entity_id").distinct(), "entity_id", "left_semi").groupBy("entity_id").agg(F.max_by("confidence", F.coalesce("extracted_at", oldest)).alias("trust"))
+    values = [usable(f, F.col(f)) for f in TEXT_FIELDS] + [usable(f, F.get_json_object("data_json", f"$.{f}")) for f in JSON_FIELDS]
     rows = members.join(entities.select("entity_id", "updated_at", "data_json", *TEXT_FIELDS), "entity_id").join(latest, "entity_id", "left")
-    rows = rows.select("cluster_id", "entity_id", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce(F.col("updated_at").cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz")).alias("recent"), F.array(*(F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in values.items())).alias("all"))
-    rows = rows.withColumn("all", F.filter("all", lambda x: x["value"].isNotNull())).withColumn("complete", F.size("all"))
-    return rows.select("cluster_id", "entity_id", "complete", "recent", "trust", F.explode("all").alias("x")).select("cluster_id", "x.field", "entity_id", "x.value", "complete", "recent", "trust")
+    rows = rows.select("cluster_id", "entity_id", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.unix_micros(F.coalesce(F.col("updated_at").cast("timestamp_ntz"), oldest).cast("timestamp")).alias("recent"), F.array(*values).alias("values"))
+    rows = rows.withColumn("marks", F.transform("values", lambda v: F.when(v.isNotNull(), F.xxhash64(v))))
+    return rows.withColumn("held", F.aggregate("values", F.struct(F.lit(0).alias("h"), F.lit(1).alias("b")), lambda s, v: F.struct((s["h"] + F.when(v.isNotNull(), s["b"]).otherwise(0)).alias("h"), (s["b"] * 2).alias("b")), lambda s: s["h"]))
+
+
+def policy(x) -> list[Column]:
+    """Order of preference, best first."""
+    return [F.when(x["trust"] >= TRUSTED, 0).otherwise(1).alias("a"), (-x["recent"]).alias("b"), (-x["trust"]).alias("c"), (-F.bit_count(x["held"])).alias("d"), x["entity_id"].alias("entity_id")]
+
 
+def layered(rows: DataFrame) -> DataFrame:
+    """(cluster_id, layers): each cluster's reduced rows with their dominance layer, from 1."""
+    point = F.struct("entity_id", "recent", "trust", "held", "marks")
+    order = F.struct(*policy({c: F.col(c) for c in ("trust", "recent", "held", "entity_id")}))
+    best = rows.groupBy("cluster_id", "held", (F.col("trust") >= TRUSTED).alias("_t")).agg(F.min_by(point, order).alias("p"))
+    gathered = best.groupBy("cluster_id").agg(F.collect_list("p").alias("p"))  # at most two for each set of fields
 
-def _undominated(rows: Column) -> Column:
     def beats(y: Column, x: Column) -> Column:
-        axes = ("complete", "recent", "trust")
-        at_least, more = (y[axes[0]] >= x[axes[0]]), (y[axes[0]] > x[axes[0]])
-        for a in axes[1:]:
-            at_least, more = at_least & (y[a] >= x[a]), more | (y[a] > x[a])
-        return at_least & more
+        least = (y["held"].bitwiseAND(x["held"]) == x["held"]) & (y["recent"] >= x["recent"]) & (y["trust"] >= x["trust"])
+        return least & ((y["held"] != x["held"]) | (y["recent"] > x["recent"]) | (y["trust"] > x["trust"]))
 
-    return F.filter(rows, lambda x: ~F.exists(rows, lambda y: beats(y, x)))
+    def peel(state: Column, n: Column) -> Column:
+        rest = state["rest"]
+        top = F.filter(rest, lambda x: ~F.exists(rest, lambda y: beats(y, x)))
+        left = F.filter(rest, lambda x: F.exists(rest, lambda y: beats(y, x)))
+        return F.when(F.size(rest) == 0, state).otherwise(F.struct(left.alias("rest"), F.concat(state["done"], F.transform(top, lambda x: F.struct(n.alias("layer"), x.alias("p")))).alias("done")))
 
+    kind = gathered.schema["p"].dataType.elementType.simpleString()
+    start = F.struct(F.col("p").alias("rest"), F.array().cast(f"array<struct<layer:int,p:{kind}>>").alias("done"))
+    return gathered.select("cluster_id", F.aggregate(F.sequence(F.lit(1), F.size("p")), start, peel, lambda s: s["done"]).alias("layers"))
 
-def skyline(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(``keys``, sky): the undominated rows of each group, as an array of structs.
 
-    A large group is first cut into parts of about GROUP_ROWS rows, whose own
-    skylines are merged, in two rounds; a part's dominated rows are dominated in
-    the whole group too.
-    """
-    point = F.struct("complete", "recent", "trust", "entity_id", "mark")
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    large = sizes.where(F.col("_n") > GROUP_ROWS)
-    if large.isEmpty():  # nothing to cut: the rounds would pass every row through
-        return rows.groupBy(*keys).agg(F.collect_list(point).alias("_p")).select(*keys, _undominated(F.col("_p")).alias("sky"))
-    rows = rows.join(large, keys, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
-    for share in (GROUP_ROWS, GROUP_ROWS**2):
-        part = F.expr(f"cast(pmod(xxhash64(entity_id), ceil(_n / {share})) as int)")
-        # Groups of one part pass through the first rounds without being gathered.
-        whole = rows.where(F.col("_n") <= share)
-        cutup = rows.where(F.col("_n") > share).groupBy(*keys, part.alias("_part"), "_n").agg(F.collect_list(point).alias("_p"))
-        rows = whole.select(*keys, "_n", "complete", "recent", "trust", "entity_id", "mark").unionByName(cutup.select(*keys, "_n", F.inline(_undominated(F.col("_p")))))
-    return rows.groupBy(*keys).agg(F.collect_list(point).alias("_p")).select(*keys, _undominated(F.col("_p")).alias("sky"))
-
-
-def survivors(clusters: DataFrame, entities: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Winners (cluster_id, field, entity_id, first_id) and the points they come from.
-
-    ``first_id`` is the smallest entity that holds exactly the winner's value.
-    """
-    rows = cut(points(clusters, entities, records).withColumn("mark", F.xxhash64("value")))
-    keys = ["cluster_id", "field"]
-    policy = lambda x: F.struct(F.when(x["trust"] >= TRUSTED, 0).otherwise(1).alias("a"), (-F.unix_micros(x["recent"].cast("timestamp"))).alias("b"), (-x["trust"]).alias("c"), (-x["complete"]).alias("d"), x["entity_id"].alias("entity_id"), x["mark"].alias("mark"))
-    best = skyline(rows, keys).select(*keys, F.array_min(F.transform("sky", policy)).alias("w")).select(*keys, "w.entity_id", "w.mark")
-    first = rows.groupBy(*keys, "mark").agg(F.min("entity_id").alias("first_id"))
-    return best.join(first, [*keys, "mark"]), rows
+def survivors(rows: DataFrame) -> DataFrame:
+    """(cluster_id, field, entity_id, mark): for each field the row that holds it, from the first layer with a usable value."""
+
+    def winner(k: int) -> Column:
+        have = F.filter("layers", lambda x: x["p"]["held"].bitwiseAND(F.lit(1 << k)) != 0)
+        return F.array_min(F.transform(have, lambda x: F.struct(x["layer"].alias("layer"), *policy(x["p"]), x["p"]["marks"][k].alias("mark"))))
+
+    each = F.array(*(F.struct(F.lit(f).alias("field"), winner(k).alias("w")) for k, f in enumerate(FIELDS)))
+    return layered(rows).select("cluster_id", F.explode(each).alias("x")).select("cluster_id", "x.field", "x.w.entity_id", "x.w.mark")
 
 
 def current_values(clusters: DataFrame, entities: DataFrame, records: DataFrame) -> DataFrame:
     """(cluster_id, field, entity_id): the row whose value holds, for each cluster and field.
 
+    Of several rows with exactly that value it is the one with the smallest id;
     entity_id is null where no row of the cluster has a usable value. Repeated
-    rows count once, ties go to the smallest id, an empty table gives no rows.
+    rows count once, an empty table gives no rows.
     """
-    best, _ = survivors(clusters, entities, records)
-    cases = clusters.where("cluster_id is not null").select("cluster_id").distinct().withColumn("field", F.explode(F.array(*map(F.lit, TEXT_FIELDS + JSON_FIELDS))))
+    rows = cut(points(clusters, entities, records))
+    one = F.explode(F.filter(F.transform(F.arrays_zip(F.array(*map(F.lit, FIELDS)).alias("f"), F.col("marks")), lambda x: F.struct(x["f"].alias("field"), x["marks"].alias("mark"))), lambda x: x["mark"].isNotNull()))
+    first = rows.select("cluster_id", "entity_id", one.alias("x")).groupBy("cluster_id", "x.field", "x.mark").agg(F.min("entity_id").alias("first_id"))
+    best = survivors(rows).where("mark is not null").join(first, ["cluster_id", "field", "mark"])
+    cases = clusters.where("cluster_id is not null").select("cluster_id").distinct().withColumn("field", F.explode(F.array(*map(F.lit, FIELDS))))
     return cases.join(best.select("cluster_id", "field", F.col("first_id").alias("entity_id")), ["cluster_id", "field"], "left")
 
 
 def best_records(clusters: DataFrame, entities: DataFrame, records: DataFrame) -> DataFrame:
     """One row per cluster with the value that holds for each field, null where there is none."""
-    best, rows = survivors(clusters, entities, records)
-    values = best.select("cluster_id", "field", "entity_id").join(rows.select("cluster_id", "field", "entity_id", "value").dropDuplicates(["cluster_id", "field", "entity_id"]), ["cluster_id", "field", "entity_id"])
-    one = values.groupBy("cluster_id").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in TEXT_FIELDS + JSON_FIELDS))
+    rows = cut(points(clusters, entities, records))
+    won = survivors(rows).where("mark is not null")
+    values = won.join(rows.select("cluster_id", "entity_id", "values").dropDuplicates(["cluster_id", "entity_id"]), ["cluster_id", "entity_id"])
+    one = values.groupBy("cluster_id").agg(*(F.max(F.when(F.col("field") == f, F.col("values")[k])).alias(f) for k, f in enumerate(FIELDS)))
     return clusters.where("cluster_id is not null").select("cluster_id").distinct().join(one, "cluster_id", "left")

@@ -172,18 +172,30 @@ def test_runs_are_divided_and_compacted(spark, monkeypatch):
 # ---- survivors ----
 
 
-def brute_sky(points):
-    beats = lambda a, b: all(x >= y for x, y in zip(a, b)) and a != b
-    return {i for i, p in points.items() if not any(beats(q, p) for q in points.values())}
-
-
-def test_skyline_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(skyline, "GROUP_ROWS", 5)
+def test_layers_by_brute_force(spark):
     rng = random.Random(1)
-    rows = [(f"c{k}", f"e{i:03d}", rng.randint(1, 4), rng.randint(0, 9), rng.randint(0, 9) / 10, i) for k in range(2) for i in range(90)]
-    df = spark.createDataFrame(rows, "c string, entity_id string, complete int, recent int, trust double, mark int")
-    got = {r.c: {x.entity_id for x in r.sky} for r in skyline.skyline(df, ["c"]).collect()}
-    assert got == {k: brute_sky({r[1]: r[2:5] for r in rows if r[0] == k}) for k in ("c0", "c1")}
+    rows = [(f"c{k}", f"e{i:03d}", rng.choice((0.2, 0.5, 0.7, 0.9)), rng.randint(0, 9), rng.randint(0, 7)) for k in range(6) for i in range(40)]
+    df = spark.createDataFrame(rows, "cluster_id string, entity_id string, trust double, recent bigint, held int").selectExpr("*", "array_repeat(1L, 7) as marks")
+    got = {r.cluster_id: {x.p.entity_id: x.layer for x in r.layers} for r in skyline.layered(df).collect()}
+    order = lambda r: (r[2] < skyline.TRUSTED, -r[3], -r[2], -bin(r[4]).count("1"), r[1])
+    beats = lambda y, x: y[4] & x[4] == x[4] and y[3] >= x[3] and y[2] >= x[2] and y[2:] != x[2:]
+    deep = 0
+    for c, layers in got.items():
+        own = [r for r in rows if r[0] == c]
+        kept = [min(g, key=order) for g in ([r for r in own if (r[4], r[2] >= skyline.TRUSTED) == k] for k in {(r[4], r[2] >= skyline.TRUSTED) for r in own})]
+        want, left, n = {}, kept, 1
+        while left:
+            top = [x for x in left if not any(beats(y, x) for y in left)]
+            want |= {x[1]: n for x in top}
+            left, n = [x for x in left if x not in top], n + 1
+        assert layers == want
+        deep = max(deep, n)
+        for k in range(3):  # the policy over all rows is what the layers give
+            have = [r for r in own if r[4] >> k & 1]
+            if have:
+                first = min(layers[r[1]] for r in kept if r[4] >> k & 1)
+                assert min((r for r in kept if r[4] >> k & 1 and layers[r[1]] == first), key=order) == min(have, key=order)
+    assert deep > 3
 
 
 def test_current_values(spark):

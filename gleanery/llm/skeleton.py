@@ -21,7 +21,13 @@ from .common import cut, pairs_of_groups, ship
 # Letters drawn alike, as "look-alike, prototype" in the order of the alphabets.
 CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ҮY ԌG ԚQ ԜW аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ѵv ҽe"
 GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX αa γy ιi κk νv οo ρp σo τt υu χx ϲc ϳj"
+CHEROKEE = "ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᎳW ᏃZ"
+LISU = "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU"
 LATIN = "ıi ɑa ɡg ɩi ʋu ᴏo ꞌ' ՕO օo ոn սu հh"
+# Names of Coptic letters and of the Greek ones they are drawn like.
+COPTIC = "ALFA ALPHA,VIDA BETA,EIE EPSILON,ZATA ZETA,HATE ETA,IAUDA IOTA,KAPA KAPPA,MI MU,NI NU,O OMICRON,RO RHO,SIMA SIGMA,TAU TAU,UA UPSILON,KHI CHI"
+# Small capitals drawn like small letters.
+SMALL_CAPITALS = "COSUVWXZ"
 # Kana against ideographs and the two kana scripts against each other.
 KANA = "力カ 口ロ 二ニ 工エ 夕タ 八ハ 才オ 千チ 三ミ 卜ト へヘ べベ ぺペ りリ 一ー 丿ノ 厶ム 乂メ ㇏ヽ"
 INVISIBLE = "00ad 034f 061c 115f 1160 17b4 17b5 180b 180c 180d 180e 200b 200c 200d 200e 200f 202a 202b 202c 202d 202e 2060 2061 2062 2063 2064 2066 2067 2068 2069 3164 feff ffa0"
@@ -29,12 +35,15 @@ INVISIBLE = "00ad 034f 061c 115f 1160 17b4 17b5 180b 180c 180d 180e 200b 200c 20
 DASHES = "2212 30fc 2500 2796 02d7 2043 fe63 ff70"
 
 
+_COPTIC = dict(x.split(" ") for x in COPTIC.split(","))
+
+
 class Table(dict):
     """str.translate table; a character's prototype is worked out when first met."""
 
     def __init__(self) -> None:
         super().__init__()
-        for pair in f"{CYRILLIC} {GREEK} {LATIN} {KANA}".split(" "):
+        for pair in f"{CYRILLIC} {GREEK} {CHEROKEE} {LISU} {LATIN} {KANA}".split(" "):
             self[ord(pair[0])] = pair[1]
         for code in INVISIBLE.split():
             self[int(code, 16)] = ""
@@ -54,10 +63,23 @@ class Table(dict):
         elif 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code <= 0xE01EF:
             out = ""
         else:
-            out = ch
+            out = self.derived(ch, unicodedata.name(ch, ""))
         self[code] = out
         return out
 
+    def derived(self, ch: str, name: str) -> str:
+        """The prototype that the character's own data give: its single compatible letter or ideograph, or its name."""
+        how = unicodedata.decomposition(ch).split()
+        if len(how) == 2 and how[0] == "<compat>" and unicodedata.category(ch) in ("Lo", "Ll", "Lu", "Nl", "So"):
+            return self[int(how[1], 16)]  # Roman numerals, radicals, variants of letters
+        if name.startswith("COPTIC "):
+            kind, _, letter = name.rpartition(" ")
+            if letter in _COPTIC:
+                return self[ord(unicodedata.lookup(f"GREEK {kind[7:]} {_COPTIC[letter]}"))]
+        if name.startswith("LATIN LETTER SMALL CAPITAL ") and name[27:] in SMALL_CAPITALS:
+            return name[27:].lower()
+        return ch
+
 
 class Widths(dict):
     """Width, font and no-break forms decompose; other compatibility forms do not read the same."""

@@ -169,14 +169,47 @@ def test_runs_are_divided_and_compacted(spark, monkeypatch):
     monkeypatch.setattr(incremental, "ROWS_PER_RANGE", 10)
     store = incremental.RunStore(spark)
     old = spark.range(50).selectExpr("concat('n|', id) as key", "concat('h', id) as holder")
-    store.plan(old)
+    store.plan(old, 50)
     assert 1 < len(store.bounds) < 6
-    store.append(old, 2)
-    for k in range(8):
+    store.append(old, incremental.BASE)
+    for k in range(18):
+        if k == 9:  # another session goes on where this one ended
+            store = incremental.RunStore(spark, store.path)
         batch = spark.createDataFrame([(f"b{k}a", 0, [f"n|{k}"]), (f"b{k}b", 0, [f"m|{k}"]), (f"b{k}c", 0, [f"m|{k}", "n|49"]), (f"b{k}d", 0, [])], "id string, rank int, keys array<string>")
-        assert {(r.id, r.holder) for r in incremental.ingest(store, batch, 4).collect()} == {(f"b{k}a", f"h{k}"), (f"b{k}b", None), (f"b{k}c", "h49"), (f"b{k}d", None)}
-    assert len(store.runs) <= incremental.COMPACT_EVERY
+        assert {(r.id, r.holder) for r in incremental.ingest(store, batch).collect()} == {(f"b{k}a", f"h{k}"), (f"b{k}b", None), (f"b{k}c", "h49"), (f"b{k}d", None)}
+    assert len(store.runs) <= 1 + 2 * incremental.FAN and store.rows == 68
     assert store.read().groupBy("key").count().where("count > 1").count() == 0
+    left = {f.getPath().getName() for f in store._fs.listStatus(store._of(store.path))}
+    assert len([x for x in left if x.startswith("run-")]) == len(store.runs) and len([x for x in left if x.startswith("manifest-")]) == 2
+
+
+def test_merged_runs_are_sorted(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    store = incremental.RunStore(spark)
+    for i in range(4):
+        store.append(spark.range(i * 3000, i * 3000 + 3000).repartition(8).selectExpr("concat('n|', hash(id)) as key", "'h' as holder"))
+        store.compact()
+    files = [f for r in store.runs for f in glob.glob(f"{r['path'].removeprefix('file://')}/range=*/*.parquet")]
+    keys = [pq.read_table(f, columns=["key"]).column(0).to_pylist() for f in files]
+    assert sum(map(len, keys)) == 12_000 and all(k == sorted(k) for k in keys) and len(store.runs) == 1
+
+
+def test_neighbours_of_links_and_reading_by_row_groups(spark, monkeypatch):
+    monkeypatch.setattr(incremental, "GROUP_BYTES", 2000)
+    store = incremental.RunStore(spark)
+    old = spark.range(20_000).selectExpr("concat('n|j|', lpad(id * 7, 9, '0')) as key", "concat('h', id) as holder").unionByName(spark.createDataFrame([("u|j|e.test/the-old-mill-house", "hm")], "key string, holder string"))
+    store.append(old, incremental.BASE)
+    new = spark.createDataFrame([("n|j|000000070", 0, "a"), ("n|j|000000071", 0, "b"), ("u|j|e.test/the-old-mil-house", 0, "c"), ("u|j|e.test/quite-another-house", 0, "d"), ("u|j|e.test/quite-anothar-house", 1, "e")], "key string, rank int, id string").selectExpr("key", "struct(rank, id) as first")
+    got = {r.key: r for r in store.windows(new).collect()}
+    assert got["n|j|000000070"].holder == "h10" and got["n|j|000000070"].exact and got["n|j|000000071"].holder is None
+    assert got["u|j|e.test/the-old-mil-house"].holder == "hm" and not got["u|j|e.test/the-old-mil-house"].exact
+    assert got["u|j|e.test/quite-anothar-house"].peer == "d" and got["u|j|e.test/quite-another-house"].peer is None
+    assert incremental.near("u|j|e.test/the-old-mill", "u|j|e.test/the-old-mall") and not incremental.near("u|j|e.test/the-old-page-1", "u|j|e.test/the-old-page-2") and not incremental.near("u|j|e.test/ab", "u|k|e.test/ab")
+    groups = next(iter(got.values())).groups_read
+    assert groups < 8  # of more than 20
 
 
 # ---- survivors ----

@@ -4,17 +4,20 @@ Tag-path ratios: the text of a page hangs on root-to-leaf tag paths. For every
 container path (with its place among its siblings, since many pages mark up all
 blocks alike) the length of text outside links and the number of punctuation
 marks are aggregated and divided by the number of leaf nodes; both ratios are
-smoothed over neighbouring paths, fused with the share of text outside links and
-compared with a threshold. The container of the page's own heading is a content
-node if it carries more text than links. So may be every other container above
-the threshold, but promotions pass it too: on a page with a heading, such a
-container's lines are held against all pages before it counts.
-
-Promotions stand inside content nodes too. What a line says is therefore held
-against all pages: hashed 4-grams are counted inside and outside the content
-nodes of the whole input (a table of fixed size), and lines of a content node
-whose 4-grams are at home outside are left out. Lines of containers that only
-pass the threshold are counted once it is known which they are.
+smoothed over neighbouring paths and fused with the share of text outside links.
+Paths that reach NEAR_BEST of the page's best fused ratio are taken as content for
+now, those under FAR of it as none; the others stay open. The thresholds are thus
+the page's own, whatever the length of its texts.
+
+These first choices of all pages say where wording is at home: hashed 4-grams and
+line templates are counted inside and outside the chosen paths (a table of fixed
+size over the whole input), and a line's *home* is its mean log ratio of the two.
+The content ratio of a path is the home of its lines, weighted by length, summed
+up the tree; the path with the largest sum over 0 holds the page's content, and so
+does any other that the first choice did not rule out and that is at home inside by
+SURE_HOME. Lines in them whose home is outside (promotions, share links) do not
+count. The page's heading is no answer, only a feature: it raises the fused ratio
+of its path by HEADING, and its line is kept on pages with content.
 """
 
 from __future__ import annotations
@@ -31,21 +34,29 @@ from pyspark.sql import functions as F
 
 from .common import cut, ship
 
-#: Fused ratio from which a container without the page's heading counts as content.
-THRESHOLD = 120.0
+#: Shares of a page's best fused ratio from which a path is content, and under which it is none, in the first choice.
+NEAR_BEST, FAR = 0.9, 0.8
+#: Best fused ratio a page with a main body has at least, and punctuation marks of its path.
+LEAST_RATIO, LEAST_MARKS = 20.0, 2
+#: Mean home from which a path is content beside the one with the largest content ratio.
+SURE_HOME = 0.3
+#: Factor of the fused ratio of the path that holds the page's heading.
+HEADING = 3.0
 #: Weights of a path's neighbours and itself in smoothing.
 KERNEL = [0.1, 0.8, 0.1]
 #: 4-grams are hashed to the lower half, line templates to the upper one.
 BUCKETS = 1 << 19
 #: Times a 4-gram or template must be seen before it counts.
 LEAST_SEEN = 5
-#: Share of a container's lines that may be at home outside if it is content by its ratio alone.
-MOST_FOREIGN = 0.2
 # Elements that hold blocks, and those whose text is no content.
 CONTAINERS = {"html", "body", "div", "section", "article", "main", "aside", "nav", "header", "footer", "table", "tbody", "tr", "td", "ul", "ol", "dl", "form", "fieldset", "figure", "details"}
 SILENT = {"script", "style", "head", "title", "template", "noscript", "svg"}
 TOPS = {"body", "html", "#"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements within a line of text, those whose text is a link, and those that end an open paragraph.
+INLINE = {"a", "span", "em", "strong", "i", "u", "small", "font", "label"}
+LINKS = {"a", "button"}
+BLOCKS = CONTAINERS | HEADINGS | {"p", "li", "dt", "dd", "th"}
 VOID = {"br", "img", "hr", "meta", "link", "input", "source", "wbr", "area", "base", "col", "embed"}
 
 _TOKEN = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?([A-Za-z][A-Za-z0-9]*)(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>|\n", re.S)
@@ -54,34 +65,44 @@ _SLOT = re.compile(r"ア[ア]+|\b[A-Z][a-z]+\b|0[0:.,-]*")
 _MASK = {c: "ア" for c in range(0x30A1, 0x30FB)} | {0x30FC: "ア"} | {ord(d): "0" for d in "0123456789０１２３４５６７８９"}
 
 
-def lines_of(page: str) -> tuple[list[dict], list[dict]]:
-    """Lines with text, and containers in document order.
+class Page:
+    """Lines with text of a page, and its containers in document order."""
 
-    A line has number, text, leaf tag, link length and its container's index; a
-    container its parent, path and depth. Missing end tags are supplied: an end
-    tag closes what is still open inside it, one without a start tag is ignored.
-    """
-    nodes = [{"tag": "#", "up": -1, "path": ""}]
-    stack: list[tuple[str, int]] = [("#", 0)]
-    lines: list[dict] = []
-    counts: dict[tuple[int, str], int] = {}
-    no, at, silent = 0, 0, 0
-    line = None
+    def __init__(self) -> None:
+        self.no: list[int] = []
+        self.text: list[str] = []
+        self.tag: list[str] = []
+        self.link: list[int] = []
+        self.node: list[int] = []
+        self.heading: list[bool] = []
+        self.up, self.kind = [-1], ["#"]
+
+
+def lines_of(page: str) -> Page:
+    """Missing end tags are supplied: an end tag closes what is still open inside it, one without a start tag is ignored."""
+    out = Page()
+    tags, nodes = ["#"], [0]  # open elements, and the container each is or stands in
+    links = headings = silent = no = at = 0
+    begun = False
 
     def text(s: str) -> None:
-        nonlocal line
-        s = html.unescape(s)
-        if silent or not s.strip():
+        nonlocal begun
+        if silent or s.isspace():
             return
-        leaf = stack[-1][0]
-        inline = [t for t, _ in stack]
-        if line is None:
-            line = {"no": no, "text": "", "tag": next((t for t in reversed(inline) if t not in ("a", "span", "em", "strong", "i", "u", "small", "font", "label")), leaf), "link": 0, "node": next(n for _, n in reversed(stack) if n >= 0), "heading": False, "crumb": False}
-            lines.append(line)
-        line["text"] += s
-        line["heading"] |= "h1" in inline
-        if "a" in inline or "button" in inline:
-            line["link"] += len(s.strip())
+        if "&" in s:
+            s = html.unescape(s)
+            if s.isspace():
+                return
+        if not begun:
+            begun = True
+            out.no.append(no), out.text.append(s), out.link.append(0), out.node.append(nodes[-1]), out.heading.append(headings > 0)
+            out.tag.append(next((t for t in reversed(tags) if t not in INLINE), tags[-1]))
+        else:
+            out.text[-1] += s
+            if headings:
+                out.heading[-1] = True
+        if links:
+            out.link[-1] += len(s.strip())
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -89,117 +110,97 @@ def lines_of(page: str) -> tuple[list[dict], list[dict]]:
         at = m.end()
         tok = m[0]
         if tok == "\n":
-            no, line = no + 1, None
+            no, begun = no + 1, False
             continue
-        tag = (m[1] or "").lower()
-        if not tag:
-            if "\n" in tok:
-                no, line = no + tok.count("\n"), None
-            continue
-        if tok[1] == "/":
-            if tag in SILENT:
-                silent = max(0, silent - 1)
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            # An inline or text element never closes a container around it.
-            if k and (tag in CONTAINERS or all(n < 0 for _, n in stack[k:])):
-                del stack[k:]
-        elif tag not in VOID and not tok.endswith("/>"):
-            if tag in SILENT:
-                silent += 1
-            block = tag in CONTAINERS or tag in HEADINGS or tag in ("p", "li", "dt", "dd", "th")
-            if block:  # opening a block ends an open paragraph, item or heading
-                while stack[-1][1] < 0 and len(stack) > 1 and stack[-1][0] not in SILENT:
-                    stack.pop()
-            if tag in CONTAINERS:
-                up = stack[-1][1]
-                counts[up, tag] = counts.get((up, tag), 0) + 1
-                nodes.append({"tag": tag, "up": up, "path": f"{nodes[up]['path']}/{tag}[{counts[up, tag]}]"})
-                stack.append((tag, len(nodes) - 1))
-            else:
-                stack.append((tag, -1))
+        tag = m[1]
+        if tag:
+            tag = tag.lower()
+            if tok[1] == "/":
+                if tag in SILENT:
+                    silent = max(0, silent - 1)
+                k = len(tags) - 1
+                while k and tags[k] != tag:
+                    k -= 1
+                # An inline or text element never closes a container around it.
+                if k and (tag in CONTAINERS or nodes[k] == nodes[-1] and not any(t in CONTAINERS for t in tags[k:])):
+                    for t in tags[k:]:
+                        links -= t in LINKS
+                        headings -= t == "h1"
+                    del tags[k:], nodes[k:]
+            elif tag not in VOID and not tok.endswith("/>"):
+                if tag in SILENT:
+                    silent += 1
+                if tag in BLOCKS:  # opening a block ends an open paragraph, item or heading
+                    while len(tags) > 1 and tags[-1] not in CONTAINERS and tags[-1] not in SILENT:
+                        t = tags.pop()
+                        nodes.pop()
+                        links -= t in LINKS
+                        headings -= t == "h1"
+                if tag in CONTAINERS:
+                    out.up.append(nodes[-1]), out.kind.append(tag)
+                    nodes.append(len(out.up) - 1)
+                else:
+                    nodes.append(nodes[-1])
+                    links += tag in LINKS
+                    headings += tag == "h1"
+                tags.append(tag)
         if "\n" in tok:
-            no, line = no + tok.count("\n"), None
+            no, begun = no + tok.count("\n"), False
     if at < len(page):
         text(page[at:])
-    return lines, nodes
-
-
-def content_nodes(lines: list[dict], nodes: list[dict]) -> tuple[list[int], list[int]]:
-    """Indexes of the content containers, and of those that pass the threshold beside the heading's; none for a page without a main body."""
-    n = len(nodes)
-    under = np.zeros(n, int)
-    for x in lines:
-        k = x["node"]
-        while k >= 0:
-            under[k] += 1
-            k = nodes[k]["up"]
-
-    def box(k: int, through: tuple[str, ...]) -> int:
-        while nodes[k]["up"] > 0 and (under[k] <= 1 or nodes[k]["tag"] in through):
-            k = nodes[k]["up"]
-        return k
-
-    size, punct, leaf, link = (np.zeros(n) for _ in range(4))
-    for x in lines:
-        k, long = box(x["node"], ("tr", "tbody", "ul", "ol")), len(x["text"].strip())
-        size[k] += long - x["link"]
-        link[k] += x["link"]
-        punct[k] += len(_PUNCT.findall(x["text"])) if x["link"] < long else 0
-        leaf[k] += 1
-    used = np.flatnonzero(leaf)
-    if not len(used):
-        return [], []
-    ratio, marks = size[used] / leaf[used], punct[used] / leaf[used]
-    smooth = lambda v: np.convolve(np.pad(v, 1, mode="edge"), KERNEL, "valid")
-    fused = smooth(ratio) * (1 + smooth(marks)) * size[used] / np.maximum(size[used] + link[used], 1)
-    over = [int(k) for k, v in zip(used, fused) if v >= THRESHOLD and punct[k] >= 2]
-    head = next((x for x in lines if x["heading"]), None)
-    if head is None:
-        return over, []
-    k = box(head["node"], ())
-    if nodes[k]["tag"] in TOPS:
-        return over, []
-    above, own = {k}, []
-    for x in lines:
-        j = x["node"]
-        while j > k:
-            j = nodes[j]["up"]
-        if j == k and not x["heading"]:
-            own.append(x)
-    text, links = sum(len(x["text"].strip()) for x in own), sum(x["link"] for x in own)
-    while nodes[k]["up"] >= 0:
-        k = nodes[k]["up"]
-        above.add(k)
-    found = [max(above)] if text > 2 * links or not own else []
-    return found, [x for x in over if x not in above or nodes[x]["tag"] in TOPS]
-
-
-def labelled(page: str) -> list[tuple[int, str, bool | None, bool, str, int | None]]:
-    """(line number, text, inside a content node, heading, tag, container) of each line with text.
-
-    Where only the threshold is passed, inside is null and the container is given.
-    """
-    if "<" not in page:
-        return []
-    lines, nodes = lines_of(page)
-    kept, maybe = content_nodes(lines, nodes)
-
-    def around(k: int, among: list[int]) -> int | None:
-        """The container of ``among`` a line of k stands in; a page's top holds its own lines only."""
-        if k in among:
-            return k
-        while k >= 0 and (k not in among or nodes[k]["tag"] in TOPS):
-            k = nodes[k]["up"]
-        return k if k >= 0 else None
-
-    out = []
-    for x in lines:
-        sure = x["heading"] or around(x["node"], kept) is not None
-        part = None if sure else around(x["node"], maybe)
-        out.append((x["no"], x["text"].strip(), True if sure else False if part is None else None, x["heading"], x["tag"], part))
+    out.text = [x.strip() for x in out.text]
     return out
 
 
+def first_choice(p: Page) -> list[int]:
+    """For each line 1 if its path is content by its fused ratio, 0 if it is none, -1 if open; paths without punctuation to speak of are none."""
+    n, up, kind = len(p.up), p.up, p.kind
+    if not p.no:
+        return []
+    under = [0] * n
+    for k in p.node:
+        under[k] += 1
+    for k in range(n - 1, 0, -1):
+        under[up[k]] += under[k]
+    boxes: dict[int, int] = {}
+    size, punct, leaf, link = ([0.0] * n for _ in range(4))
+    for k, text, linked in zip(p.node, p.text, p.link):
+        b = boxes.get(k)
+        if b is None:
+            b = k
+            while up[b] > 0 and (under[b] <= 1 or kind[b] in ("tr", "tbody", "ul", "ol")):
+                b = up[b]
+            boxes[k] = b
+        size[b] += len(text) - linked
+        link[b] += linked
+        leaf[b] += 1
+        if linked < len(text):
+            punct[b] += len(_PUNCT.findall(text))
+    used = [k for k in range(n) if leaf[k]]
+    a, b, c = KERNEL
+
+    def smooth(v: list[float]) -> list[float]:
+        v = [v[0], *v, v[-1]]
+        return [a * v[k - 1] + b * v[k] + c * v[k + 1] for k in range(1, len(v) - 1)]
+
+    ratio, marks = smooth([size[k] / leaf[k] for k in used]), smooth([punct[k] / leaf[k] for k in used])
+    fused = [r * (1 + m) * size[k] / max(size[k] + link[k], 1) if punct[k] >= LEAST_MARKS else 0.0 for r, m, k in zip(ratio, marks, used)]
+    head = next((boxes[k] for k, h in zip(p.node, p.heading) if h), None)
+    fused = [v * HEADING if k == head else v for v, k in zip(fused, used)]
+    best = max(fused)
+    if best < LEAST_RATIO:
+        return [0] * len(p.no)
+    state = [0] * n
+    for v, k in zip(fused, used):
+        state[k] = 1 if v >= NEAR_BEST * best else -1 if v >= FAR * best else 0
+    whole = [False] * n  # what stands under a chosen path belongs to it, but for the page's top
+    for k in range(1, n):
+        whole[k] = whole[up[k]] or state[k] == 1 and kind[k] not in TOPS
+        if whole[k]:
+            state[k] = 1
+    return [1 if whole[k] else state[boxes[k]] for k in p.node]
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every 4-gram of the texts, and which text it is from."""
     s = "\n".join(f"^{t.translate(_MASK)}$" for t in texts)
@@ -222,38 +223,32 @@ def template(tag: str, text: str) -> int:
     return BUCKETS // 2 + zlib.crc32(f"{tag}:{_SLOT.sub('_', text.translate(_MASK))}".encode()) % (BUCKETS // 2)
 
 
-def scores(lines: list[tuple], home: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Over 0 where a line is more at home inside content, by its 4-grams or by its template if that is often seen."""
-    h, of = grams([x[1] for x in lines])
-    mean = np.bincount(of, home[h], minlength=len(lines)) / np.maximum(np.bincount(of, minlength=len(lines)), 1)
-    t = np.array([template(x[4], x[1]) for x in lines], np.int64)
+def scores(tags: list[str], texts: list[str], home: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Home of each line: over 0 where it is inside content, by its 4-grams or by its template if that is often seen."""
+    h, of = grams(texts)
+    mean = np.bincount(of, home[h], minlength=len(texts)) / np.maximum(np.bincount(of, minlength=len(texts)), 1)
+    t = np.array([template(a, b) for a, b in zip(tags, texts)], np.int64)
     return np.where(seen[t], np.maximum(home[t], mean), mean)
 
 
-def settled(inside: list[bool | None], part: list[int | None], start: list[bool], score: np.ndarray) -> np.ndarray:
-    """Which lines are inside a content node; a container known by its threshold alone is one if few of its lines are at home outside."""
-    out, of, page = np.array([x is True for x in inside], bool), {}, 0
-    for k, p in enumerate(part):
-        page += start[k]
-        if p is not None:
-            of.setdefault((page, p), []).append(k)
-    for at in of.values():
-        out[at] = np.mean(score[at] < 0) <= MOST_FOREIGN
-    return out
-
-
-def whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The lines again, no page in two tables."""
-    rest: list[pa.RecordBatch] = []
-    for b in batches:
-        starts = np.flatnonzero(b.column("start").to_numpy(zero_copy_only=False))
-        if len(starts):
-            yield pa.Table.from_batches([*rest, b.slice(0, int(starts[-1]))])
-            rest = []
-            b = b.slice(int(starts[-1]))
-        rest.append(b)
-    if rest:
-        yield pa.Table.from_batches(rest)
+def content_paths(node: np.ndarray, up: np.ndarray, length: np.ndarray, home: np.ndarray, choice: np.ndarray) -> np.ndarray:
+    """Which lines stand in a content path: the one with the largest content ratio over 0, and others over 0 whose lines are not ruled out by their fused ratio."""
+    share = (np.minimum(length, 80) + 10) * np.clip(home, -2, 2)
+    total = np.bincount(node, share, minlength=len(up)).tolist()
+    weight = np.bincount(node, np.minimum(length, 80) + 10, minlength=len(up)).tolist()
+    above = up.tolist()
+    open_ = [False] * len(above)
+    for k, c in zip(node.tolist(), choice.tolist()):
+        open_[k] |= c != 0
+    for k in range(len(above) - 1, 0, -1):
+        total[above[k]] += total[k]
+        weight[above[k]] += weight[k]
+    best = int(np.argmax(total))
+    inside = [False] * len(above)
+    if total[best] > 0:
+        for k in range(1, len(above)):
+            inside[k] = k == best or inside[above[k]] or open_[k] and total[k] > SURE_HOME * weight[k]
+    return np.array(inside, bool)[node]
 
 
 def homes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,40 +257,51 @@ def homes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(seen, np.clip(np.log((counts[0] + 0.5) / (counts[1] + 0.5)), -3, 3), 0).astype(np.float32), seen
 
 
-def labelled_lines(pages: DataFrame) -> DataFrame:
-    """(id, line_no, text, inside, heading, tag, part, start) of each line with text of (id, content); each page is parsed once."""
+#: One row a page: texts and tags joined, (line number, first choice, heading, container) of each line, parents of containers.
+PARSED = "texts string, tags string, lines binary, up binary"
+
+
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """(id, PARSED) of each page of (id, content) that has markup and text; each page is parsed once."""
     kind = dict(pages.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, rows, start = [], [], []
+            at, texts, tags, lines, up = [], [], [], [], []
             for i, page in enumerate(b.column(1).to_pylist()):
-                own = labelled(page)
-                rows += own
-                at += [i] * len(own)
-                start += [k == 0 for k in range(len(own))]
-            no, text, inside, heading, tag, part = (list(c) for c in zip(*rows)) if rows else ([],) * 6
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(no, pa.int32()), pa.array(text, pa.string()), pa.array(inside, pa.bool_()), pa.array(heading, pa.bool_()), pa.array(tag, pa.string()), pa.array(part, pa.int32()), pa.array(start, pa.bool_())], names=["id", "line_no", "text", "inside", "heading", "tag", "part", "start"])
+                if "<" not in page:
+                    continue
+                p = lines_of(page)
+                if p.no:
+                    at.append(i), texts.append("\n".join(x.replace("\n", " ") for x in p.text)), tags.append(" ".join(p.tag))
+                    lines.append(np.array([p.no, first_choice(p), p.heading, p.node], np.int32).tobytes()), up.append(np.array(p.up, np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(texts, pa.string()), pa.array(tags, pa.string()), pa.array(lines, pa.binary()), pa.array(up, pa.binary())], names=["id", "texts", "tags", "lines", "up"])
+
+    return pages.mapInArrow(run, f"id {kind}, {PARSED}")
 
-    return pages.mapInArrow(run, f"id {kind}, line_no int, text string, inside boolean, heading boolean, tag string, part int, start boolean")
 
+def _unpack(lines: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int32).reshape(4, -1) for x in lines]
 
-def gram_counts(lines: DataFrame) -> np.ndarray:
-    """Counts of 4-grams and templates (inside, outside) of content nodes over all lines, 2 x BUCKETS."""
+
+def gram_counts(pages: DataFrame) -> np.ndarray:
+    """Counts of 4-grams and templates (inside, outside) of the first choice over all pages, 2 x BUCKETS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
         for b in batches:
-            text, tag, inside = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
+            texts = [x for t in b.column(0).to_pylist() for x in t.split("\n")]
+            tags = [x for t in b.column(1).to_pylist() for x in t.split(" ")]
+            chosen = np.concatenate([x[1] for x in _unpack(b.column(2).to_pylist())]) if b.num_rows else np.zeros(0, int)
             for side in (0, 1):
-                own = [k for k, x in enumerate(inside) if x is (side == 0)]
-                total[side] += np.bincount(grams([text[k] for k in own])[0], minlength=BUCKETS)
-                np.add.at(total[side], [template(tag[k], text[k]) for k in own], 1)
+                own = np.flatnonzero(chosen == 1 - side).tolist()
+                total[side] += np.bincount(grams([texts[k] for k in own])[0], minlength=BUCKETS)
+                total[side] += np.bincount(np.array([template(tags[k], texts[k]) for k in own], np.int64), minlength=BUCKETS)
         at = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[0][at]), pa.array(total[1][at])], names=["bucket", "inside", "outside"])
 
     counts = np.zeros((2, BUCKETS), np.int64)
-    rows = lines.select("text", "tag", "inside").mapInArrow(run, "bucket int, inside bigint, outside bigint").groupBy("bucket").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    rows = pages.select("texts", "tags", "lines").mapInArrow(run, "bucket int, inside bigint, outside bigint").groupBy("bucket").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
     got = rows.toPandas()  # at most BUCKETS rows
     counts[0][got.bucket], counts[1][got.bucket] = got.inside, got.outside
     return counts
@@ -305,37 +311,33 @@ def main_lines(pages: DataFrame, id_col: str = "fetch_id", page_col: str = "cont
     """(id, line_no, text) of each line of main content; lines count from 0.
 
     Pages that are null, empty, no markup or without a main body give no rows.
-    Repeated pages give their rows again; an empty table gives no rows.
+    Repeated pages give their rows again; an empty table gives no rows. Pages of
+    any length are read whole. On very few pages (no wording seen LEAST_SEEN
+    times) nothing is known of what is at home where, and no line comes out.
     """
     spark = pages.sparkSession
     ship(spark)
     rows = pages.select(F.col(id_col).alias("id"), F.col(page_col).alias("content")).where("content is not null")
     kind = dict(rows.dtypes)["id"]
-    lines = cut(labelled_lines(rows))
-    counts = gram_counts(lines)
-    first = spark.sparkContext.broadcast(homes(counts))
-    fields = ("text", "heading", "tag", "part", "start", "inside")
-
-    def parts(t: pa.Table) -> tuple[list[tuple], np.ndarray]:
-        text, heading, tag, part, start, inside = (t.column(c).to_pylist() for c in fields)
-        own = list(zip(text, text, heading, heading, tag))
-        return own, settled(inside, part, start, scores(own, *first.value)) if own else np.zeros(0, bool)
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_pages(batches):
-            t = t.set_column(t.schema.get_field_index("inside"), "inside", pa.array(parts(t)[1], pa.bool_()))
-            yield from t.filter(t.column("part").is_valid()).select(["text", "tag", "inside"]).to_batches()
-
-    held = lines.where("start or part is not null").select("id", "line_no", *fields)
-    counts += gram_counts(held.mapInArrow(settle, "text string, tag string, inside boolean"))
-    shared = spark.sparkContext.broadcast(homes(counts))
+    parsed = cut(parsed_pages(rows))
+    shared = spark.sparkContext.broadcast(homes(gram_counts(parsed)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_pages(batches):
-            own, inside = parts(t)
-            if own:
-                good = inside & (np.array([x[3] for x in own]) | (scores(own, *shared.value) >= 0))
-                yield from t.filter(pa.array(good)).select(["id", "line_no", "text"]).to_batches()
-
-    inside = lines.where("start or part is not null or inside").select("id", "line_no", *fields)
-    return inside.mapInArrow(keep, f"id {kind}, line_no int, text string").withColumnRenamed("id", id_col)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            texts = [x for t in b.column(1).to_pylist() for x in t.split("\n")]
+            home = scores([x for t in b.column(2).to_pylist() for x in t.split(" ")], texts, *shared.value)
+            length = np.array([len(x) for x in texts])
+            at, no, line, first = [], [], [], 0
+            for i, (x, up) in enumerate(zip(_unpack(b.column(3).to_pylist()), b.column(4).to_pylist())):
+                part = slice(first, first + x.shape[1])
+                first = part.stop
+                inside = content_paths(x[3], np.frombuffer(up, np.int32), length[part], home[part], x[1])
+                good = np.flatnonzero(inside & (home[part] >= 0) | (x[2] == 1) & inside.any())
+                at += [i] * len(good)
+                no.append(x[0][good])
+                line += [texts[part.start + k] for k in good.tolist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(np.concatenate(no), pa.int32()), pa.array(line, pa.string())], names=["id", "line_no", "text"])
+
+    return parsed.mapInArrow(keep, f"id {kind}, line_no int, text string").withColumnRenamed("id", id_col)

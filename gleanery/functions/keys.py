@@ -48,6 +48,6 @@ def next_run(schedule: Column, base: Column) -> Column:
 
 def retry_after_seconds(header: Column, now: Column) -> Column:
     """Seconds of a Retry-After header, given as a number or an HTTP date; null if neither."""
-    at = F.try_to_timestamp(F.substring(header, 6, 40), F.lit("dd MMM yyyy HH:mm:ss zzz"))
+    at = F.try_to_timestamp(F.regexp_replace(header, r"^\s*\w+,\s*", ""), F.lit("dd MMM yyyy HH:mm:ss zzz"))
     wait = (F.unix_micros(at) - F.unix_micros(now.cast("timestamp"))) / 1e6
     return F.coalesce(header.try_cast("double"), F.when(wait.isNotNull(), F.greatest(F.lit(0.0), wait)))

@@ -64,10 +64,10 @@ def address_key(c: Column) -> Column:
 def phone_key(c: Column, country: str = "81") -> Column:
     """``+`` and digits; a national number gets ``country``, 00 counts as +."""
     t = F.regexp_replace(nfkc(c), r"[^\d+]", "")
-    rest = F.regexp_replace(F.substring(t, 2, 1000), r"\D", "")
+    rest = F.regexp_replace(t, r"^.|\D", "")
     return (
-        F.when(t == "", "").when(t.startswith("+"), F.concat(F.lit("+"), rest)).when(t.startswith("00"), F.concat(F.lit("+"), F.substring(t, 3, 1000)))
-        .when(t.startswith("0"), F.concat(F.lit(f"+{country}"), F.substring(t, 2, 1000))).otherwise(t)
+        F.when(t == "", "").when(t.startswith("+"), F.concat(F.lit("+"), rest)).when(t.startswith("00"), F.regexp_replace(t, "^00", "+"))
+        .when(t.startswith("0"), F.regexp_replace(t, "^0", f"+{country}")).otherwise(t)
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import fingerprint
-from ..functions.text import is_blank, trimmed
+from ..functions.text import is_blank
 from ..functions.urls import is_http
 
 #: Columns a merge refreshes with any new value that is not blank.
@@ -37,33 +37,32 @@ def resolve(records: DataFrame, entities: DataFrame) -> DataFrame:
     not joined again. Deleted entities never match; of several the smallest id.
     """
     live = entities.where("deleted_at is null")
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
 
     def by(key: str) -> DataFrame:
-        return live.where(F.coalesce(key, F.lit("")) != "").groupBy("job_id", key).agg(F.min("entity_id").alias("hit"))
-
-    out = []
-    rest = records
-    for key, reason in (("fingerprint", "fingerprint match"), ("canonical_url", "canonical_url match")):
-        joined = rest.join(by(key), ["job_id", key], "left")
-        out.append(joined.where("hit is not null").select(*records.columns, F.lit("merge").alias("action"), F.col("hit").alias("entity_id"), F.lit(reason).alias("reason")))
-        rest = joined.where("hit is null").select(*records.columns)
+        return live.where(filled(key).isNotNull()).groupBy("job_id", F.col(key).alias(f"_{key}")).agg(F.min("entity_id").alias(f"_{key}_hit"))
+
     # Same name: the smallest entity in conflict, else the smallest. Per name and
     # column two entities decide, the first and the first with another value, so
     # a name that many share is never paired row by row.
-    named = live.where(F.coalesce("normalized_name", F.lit("")) != "")
-    key = ["job_id", "normalized_name"]
-    names = named.groupBy(*key).agg(F.min("entity_id").alias("any_id"))
-    clashes = []
-    for c in ("domain", "address", "telephone"):
-        held = named.where(F.coalesce(c, F.lit("")) != "").groupBy(*key, c).agg(F.min("entity_id").alias("id"))
-        first = held.groupBy(*key).agg(F.min(F.struct("id", c)).alias("m")).select(*key, F.col("m.id").alias(f"{c}_id"), F.col(f"m.{c}").alias(f"{c}_first"))
-        other = held.join(first, key).where(F.col(c) != F.col(f"{c}_first")).groupBy(*key).agg(F.min("id").alias(f"{c}_other"))
-        names = names.join(first, key, "left").join(other, key, "left")
-        clashes.append(F.when(F.coalesce(c, F.lit("")) != "", F.when(F.col(f"{c}_first") != F.col(c), F.col(f"{c}_id")).otherwise(F.col(f"{c}_other"))))
-    last = rest.join(names, key, "left").withColumn("clash", F.least(*clashes))
-    out.append(last.select(*records.columns, F.when(F.col("any_id").isNull(), "new").otherwise("review").alias("action"), F.coalesce("clash", "any_id").alias("entity_id"),
-                           F.when(F.col("any_id").isNull(), "no match").when(F.col("clash").isNotNull(), "same name but conflicting domain/address/telephone").otherwise("name matches but no strong corroborating signal").alias("reason")))
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    side = ("domain", "address", "telephone")
+    named = live.where(filled("normalized_name").isNotNull()).select("job_id", F.col("normalized_name").alias("_normalized_name"), "entity_id", *(filled(c).alias(c) for c in side))
+    key = ["job_id", "_normalized_name"]
+    firsts = named.groupBy(*key).agg(F.min("entity_id").alias("any_id"), *(F.min(F.when(F.col(c).isNotNull(), F.struct("entity_id", c))).alias(f"_f{c}") for c in side))
+    others = named.join(firsts.select(*key, *(F.col(f"_f{c}.{c}").alias(f"_v{c}") for c in side)), key).groupBy(*key).agg(*(F.min(F.when(F.col(c) != F.col(f"_v{c}"), F.col("entity_id"))).alias(f"_o{c}") for c in side))
+    names = firsts.join(others, key)
+    # A record without a key finds nothing; it is spread over the tasks by its own content.
+    own = F.concat(F.lit("\x00"), F.xxhash64(*records.columns).cast("string"))
+    rows = records.withColumns({f"_{c}": F.coalesce(filled(c), own) for c in ("fingerprint", "canonical_url", "normalized_name")})
+    rows = rows.join(by("fingerprint"), ["job_id", "_fingerprint"], "left").join(by("canonical_url"), ["job_id", "_canonical_url"], "left").join(names, key, "left")
+    clash = F.least(*(F.when(filled(c).isNotNull(), F.when(F.col(f"_f{c}.{c}") != F.col(c), F.col(f"_f{c}.entity_id")).otherwise(F.col(f"_o{c}"))) for c in side))
+    a, b = F.col("_fingerprint_hit"), F.col("_canonical_url_hit")
+    strong = F.coalesce(a, b)
+    return rows.withColumn("clash", clash).select(
+        *records.columns, F.when(strong.isNotNull(), "merge").when(F.col("any_id").isNull(), "new").otherwise("review").alias("action"), F.coalesce(strong, "clash", "any_id").alias("entity_id"),
+        F.when(a.isNotNull(), "fingerprint match").when(b.isNotNull(), "canonical_url match").when(F.col("any_id").isNull(), "no match")
+        .when(F.col("clash").isNotNull(), "same name but conflicting domain/address/telephone").otherwise("name matches but no strong corroborating signal").alias("reason"),
+    )
 
 
 def resolve_in_order(records: DataFrame, entities: DataFrame, order: str = "seq") -> DataFrame:
@@ -165,7 +164,3 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], kept: list[str] = ()
 def first_of(df: DataFrame, keys: list[str], order: list[Column | str], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key in a total order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
-
-
-def text_or_null(c: Column) -> Column:
-    return F.when(~is_blank(c), trimmed(c))

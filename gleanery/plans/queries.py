@@ -14,7 +14,7 @@ from ..operators import fetched as H
 from ..operators import frontier as Q
 from ..operators import monitor as M
 from ..operators import resolve as R
-from ..session import table
+from ..session import shared_dir, table
 
 QUERIES, SQL = {}, {}
 AS_OF = "2025-10-01 00:00:00"
@@ -223,19 +223,27 @@ def record_problems(spark, d):
 
 def _candidate_records(spark, d):
     c = table(spark, d, "entity_candidates")
-    rec = c.select("candidate_id", "job_id", "normalized_name", U.domain_of(F.col("url")).alias("domain"), F.lit(None).cast("string").alias("address"), F.lit(None).cast("string").alias("telephone"), F.trim("url").alias("canonical_url"), F.sha2(F.concat_ws("|", F.lit("external_id"), "entity_type", F.nullif(F.regexp_extract("fingerprint", r"^[a-z]+:(\d+)$", 1), F.lit(""))), 256).alias("fingerprint"))
-    return rec, R.with_fingerprint(table(spark, d, "entities").drop("fingerprint"))
+    null = F.lit(None).cast("string")
+    rec = c.select("candidate_id", "job_id", "entity_type", "normalized_name", U.domain_of(F.col("url")).alias("domain"), null.alias("address"), null.alias("telephone"), F.trim("url").alias("canonical_url"), F.nullif(F.regexp_extract("fingerprint", r"^[a-z]+:(\d+)$", 1), F.lit("")).alias("external_id"))
+    return R.with_fingerprint(rec), R.with_fingerprint(table(spark, d, "entities").drop("fingerprint"))
 
 
-@query(r"""with e as (select *, sha256(case when coalesce(external_id,'')<>'' then 'external_id|'||entity_type||'|'||external_id else 'url|'||entity_type||'|'||canonical_url end) fp from entities where deleted_at is null),
- c as (select candidate_id, job_id, normalized_name nn, lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) dom, trim(url) u, sha256('external_id|' || entity_type || coalesce('|' || nullif(regexp_extract(fingerprint, '^[a-z]+:(\d+)$', 1), ''), '')) fp from entity_candidates),
- f as (select c.candidate_id, min(e.entity_id) hit from c join e on c.job_id = e.job_id and c.fp = e.fp group by 1),
- g as (select c.candidate_id, min(e.entity_id) hit from c join e on c.job_id = e.job_id and c.u = e.canonical_url where c.u <> '' group by 1),
- h as (select c.candidate_id, min(case when c.dom <> '' and e.domain <> '' and c.dom <> e.domain then '0' else '1' end || e.entity_id) k from c join e on c.job_id = e.job_id and c.nn = e.normalized_name where c.nn <> '' group by 1)
- select c.candidate_id, case when f.hit is not null or g.hit is not null then 'merge' when k is not null then 'review' else 'new' end as action, coalesce(f.hit, g.hit, substring(k, 2)) as entity_id
- from c left join f using (candidate_id) left join g using (candidate_id) left join h using (candidate_id)""")
+_FINGERPRINT = "sha256(case when coalesce(external_id,'')<>'' then 'external_id|'||entity_type||'|'||external_id when coalesce(canonical_url,'')<>'' then 'url|'||entity_type||'|'||canonical_url when coalesce(normalized_name,'')<>'' and coalesce(domain,'')<>'' then 'name_domain|'||entity_type||'|'||normalized_name||'|'||domain when coalesce(normalized_name,'')<>'' then 'name|'||entity_type||'|'||normalized_name end)"
+
+# Resolution of records c (id, job_id, fp, u, nn, dom, adr, tel) against entities e.
+_RESOLVED = """ f as (select c.id, min(e.entity_id) hit from c join e on c.job_id = e.job_id and c.fp = e.fp group by 1),
+ g as (select c.id, min(e.entity_id) hit from c join e on c.job_id = e.job_id and c.u = e.canonical_url where c.u <> '' group by 1),
+ h as (select c.id, min(case when (c.dom <> '' and e.domain <> '' and c.dom <> e.domain) or (c.adr <> '' and e.address <> '' and c.adr <> e.address) or (c.tel <> '' and e.telephone <> '' and c.tel <> e.telephone) then '0' else '1' end || e.entity_id) k from c join e on c.job_id = e.job_id and c.nn = e.normalized_name where c.nn <> '' group by 1),
+ r as (select c.id, case when f.hit is not null or g.hit is not null then 'merge' when k is not null then 'review' else 'new' end as action, coalesce(f.hit, g.hit, substring(k, 2)) as entity_id,
+   case when f.hit is not null then 'fingerprint match' when g.hit is not null then 'canonical_url match' when k is null then 'no match' when k like '0%' then 'same name but conflicting domain/address/telephone' else 'name matches but no strong corroborating signal' end as reason
+  from c left join f using (id) left join g using (id) left join h using (id))"""
+
+
+@query(r"""with e as (select *, """ + _FINGERPRINT + r""" fp from entities where deleted_at is null),
+ b as (select candidate_id id, job_id, entity_type, normalized_name, lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) as domain, trim(url) canonical_url, nullif(regexp_extract(fingerprint, '^[a-z]+:(\d+)$', 1), '') external_id from entity_candidates),
+ c as (select id, job_id, normalized_name nn, domain dom, null adr, null tel, canonical_url u, """ + _FINGERPRINT + """ fp from b),""" + _RESOLVED + " select id as candidate_id, action, entity_id, reason from r")
 def resolved(spark, d):
-    return R.resolve(*_candidate_records(spark, d)).select("candidate_id", "action", "entity_id")
+    return R.resolve(*_candidate_records(spark, d)).select("candidate_id", "action", "entity_id", "reason")
 
 
 @query()
@@ -354,15 +362,13 @@ def batch_report(spark, d):
 @query()
 def queue_stream(spark, d):
     """The fetch log as a stream through the queue's state, run to its end."""
-    import tempfile
     import uuid
 
     from ..streaming.queue import track_queue
 
     t = table(spark, d, "fetch_results")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    where = f"{root}/queue-{uuid.uuid4().hex}"
+    where = f"{shared_dir(spark)}/queue-{uuid.uuid4().hex}"
     schema = t.select("job_id", "url", "fetch_id", "ok", "blocked", "retry_after").schema
     t.select(*schema.names).write.parquet(f"{where}/in")
     events = spark.readStream.schema(schema).parquet(f"{where}/in").select("job_id", "url", F.col("fetch_id").alias("seq"), "ok", "blocked", "retry_after")

@@ -11,6 +11,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 
 
 def _names():
+    import gleanery.plans.further  # noqa: F401
     from gleanery.plans.queries import QUERIES
 
     return sorted(QUERIES)

@@ -68,3 +68,20 @@ def test_streams(spark, tmp_path):
     assert {(r.url, r.status, r.attempts, r.next_retry_s) for r in run(track_queue(src), "q")} == {("a", "done", 2, None), ("b", "skipped", 1, None), ("c", "queued", 1, 30.0)}
     hosts = run(track_hosts(src.select(F.col("job_id").alias("domain"), F.col("seq").cast("double").alias("at")), 0.5), "h")
     assert [(r.domain, r.requests, r.too_soon, r.last_at) for r in hosts] == [("j", 5, 2, 3.0)]
+
+
+def test_store_survives_a_writer_that_dies(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path))
+    s.write("t", spark.range(3))
+    monkeypatch.setattr(Store, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("died")))
+    with pytest.raises(RuntimeError):
+        s.append("t", spark.range(3, 5))
+    monkeypatch.undo()
+    other = Store(spark, str(tmp_path))  # a later session
+    assert other.exists("t") and sorted(r.id for r in other.read("t").collect()) == [0, 1, 2]
+    files = {p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")}
+    other.append("t", spark.range(5, 6))
+    assert sorted(r.id for r in other.read("t").collect()) == [0, 1, 2, 5] and files <= {p.name for p in (tmp_path / "t").iterdir()}
+    assert sorted(r.id for r in other.read("t", 1).collect()) == [0, 1, 2]
+    other.compact("t", 1)
+    assert sorted(r.id for r in other.read("t").collect()) == [0, 1, 2, 5]

@@ -59,7 +59,10 @@ _W = rf"[{_UP}][\w­]*(?:[’'](?!s\b)[\w­]+|-[\w­]+)*"
 _PART = "(?:" + "|".join(p.replace(" ", r"\s+") for p in PARTICLES) + ")"
 _TOK = rf"[{_UP}](?:\.(?:-[{_UP}]\.)?|[\w­]*(?:[’'](?!s\b)[\w­]+|-[\w­]+)*)"
 # Each pattern begins with a set of characters, so that the scan can skip to one; particles before it are looked for afterwards.
-_RUN = re.compile(rf"({_TOK}(?:(?:(?<=[A-ZÀ-Þ]{{2}}),)?{_S}(?:{_PART}{_S}){{0,3}}{_TOK}|(?:(?<=\bDr)|(?<=\bMr)|(?<=\bSr)|(?<=\bMs)|(?<=\bExcmo)|(?<=\bIlma)|(?<=\bIlmo)|(?<=\bExcma)|(?<=\bSra)|(?<=\bDña)|(?<=\bProf)|(?<=\bMme))\.{_S}(?:{_PART}{_S}){{0,3}}{_TOK})*)")
+_GUARDED = f"(?=[adtvyz]){_PART}"
+# A form of address with its full stop may stand inside a run.
+_TITLE_STOP = r"\.(?:" + "|".join(rf"(?<=\b{t}\.)" for t in ("Dr", "Mr", "Sr", "Ms", "Sra", "Dña", "Mme", "Prof", "Ilma", "Ilmo", "Excmo", "Excma")) + ")"
+_RUN = re.compile(rf"({_TOK}(?:(?:(?<=[A-ZÀ-Þ]{{2}}),|{_TITLE_STOP})?{_S}(?:{_GUARDED}{_S}){{0,3}}{_TOK})*)")
 _LEAD = re.compile(rf"(?<![\w­@])(?:{_PART}{_S}){{1,3}}$")
 _PART_WORDS = {w for p in PARTICLES for w in p.split()}
 #: Last two characters of a particle that stands before a blank.
@@ -781,7 +784,9 @@ class Decoder:
                 continue
             if lead != a:
                 run = text[lead:b]
-            for x, y in self.run_alone(run, _left(text, lead), _right(text, b)):
+            gap, word = gaps[k], gaps[k + 1][:24].split(None, 1)
+            near = (lead == a and len(gap) < 48 and _last_two(gap)) or _left(text, lead)
+            for x, y in self.run_alone(run, near, _first_one(word[0]) if len(word) > 1 else _right(text, b)):
                 out.append(("name", lead + x, lead + y))
         out.sort(key=_START)
         return out

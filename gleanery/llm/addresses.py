@@ -219,7 +219,10 @@ def candidates(nodes: DataFrame) -> DataFrame:
     by_zip = F.when(F.col("zip").isNotNull(), F.array(block(F.lit("z"), "zip", "number")))
     keyed = nodes.select("node", *PARTS, "known", F.explode(F.concat(F.coalesce(by_zip, F.array().cast("array<string>")), F.coalesce(by_sound, F.array().cast("array<string>")))).alias("block"))
     keyed = keyed.select(F.xxhash64("block").alias("block"), "node", F.struct("node", *PARTS, "known").alias("x"))
-    return pairs_of_groups(cut(keyed), ["block"], "node", carry="x").select(F.col("x_a").alias("a"), F.col("x_b").alias("b")).dropDuplicates(["a", "b"])
+    # Blocks of one node are dropped before anything is paired.
+    several = keyed.groupBy("block").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("block")
+    kept = cut(keyed.join(several, "block", "left_semi"))
+    return pairs_of_groups(kept, ["block"], "node", carry="x").select(F.col("x_a").alias("a"), F.col("x_b").alias("b")).dropDuplicates(["a", "b"])
 
 
 def compared(pairs: DataFrame) -> DataFrame:

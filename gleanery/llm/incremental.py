@@ -157,12 +157,11 @@ class RunStore:
 
         return keys.withColumn("range", range_of("key"))
 
-    def append(self, keys: DataFrame, level: int = 0, drop: list[str] = ()) -> None:
-        """Writes (key, holder) as one more sorted run, in place of the runs ``drop``."""
+    def append(self, keys: DataFrame, n: int, level: int = 0, drop: list[str] = ()) -> None:
+        """Writes ``n`` rows (key, holder) as one more sorted run, in place of the runs ``drop``."""
         run = f"{self.path}/run-{uuid.uuid4().hex}"
         rows = self.ranged(keys.select("key", "holder"))
         rows.repartition(max(1, min(len(self.bounds) + 1, 256)), "range").sortWithinPartitions("range", "key").write.option("parquet.block.size", GROUP_BYTES).option("parquet.page.row.count.limit", 2000).partitionBy("range").parquet(run)
-        n = self.spark.read.schema("key string, holder string, range int").parquet(run).count()
         self.runs = [r for r in self.runs if r["path"] not in drop] + ([{"path": run, "level": level, "rows": n}] if n else [])
         self._commit()
         for old in drop:
@@ -180,7 +179,7 @@ class RunStore:
             old, rows = [r["path"] for r in self.runs], self.read().select("key", "holder")
             self.plan(both, n)
             if old:
-                self.append(rows, BASE, old)
+                self.append(rows, self.rows, BASE, old)
 
     def windows(self, new: DataFrame) -> DataFrame:
         """(key, exact, holder, peer, groups_read) for distinct new keys (key, first: struct of rank and id).
@@ -244,7 +243,7 @@ class RunStore:
         """Merges the runs of a level once there are FAN of them."""
         level = 0
         while len(full := [r["path"] for r in self.runs if r["level"] == level]) >= FAN:
-            self.append(self.read(full), level + 1, full)
+            self.append(self.read(full), sum(r["rows"] for r in self.runs if r["level"] == level), level + 1, full)
             level += 1
 
 
@@ -260,13 +259,15 @@ def ingest(store: RunStore, batch: DataFrame) -> DataFrame:
     keyed = batch.select("id", "rank", F.explode("keys").alias("key"), F.pmod(F.hash("id"), F.lit(SLICES)).alias("slice"))
     slices = keyed.groupBy("key", "slice").agg(F.min(F.struct("rank", "id")).alias("first"))
     new = cut(slices.groupBy("key").agg(F.min("first").alias("first"), F.collect_list("slice").alias("slices")))  # at most SLICES
-    store.prepare(new, new.count())
+    n_new = new.count()
+    store.prepare(new, n_new)
     per_key = cut(new.join(store.windows(new), "key"))
+    n_unseen = per_key.where("not exact").count()
     unseen = per_key.where("not exact").select("key", F.coalesce("holder", "peer", "first.id").alias("holder"))
     known = per_key.select("key", "holder", F.coalesce("peer", "first.id").alias("earliest"), F.explode("slices").alias("slice"))
     out = keyed.join(known, ["key", "slice"]).groupBy("id").agg(F.min("holder").alias("stored"), F.min(F.when(F.col("earliest") != F.col("id"), F.col("earliest"))).alias("earlier"))
     out = out.select("id", F.coalesce("stored", "earlier").alias("holder")).unionByName(batch.where("coalesce(size(keys), 0) = 0").select("id", F.lit(None).cast("string").alias("holder")))
-    store.append(unseen)
+    store.append(unseen, n_unseen)
     store.compact()
     return out
 
@@ -291,14 +292,17 @@ def repeats(candidates: DataFrame, entities: DataFrame, discovered: DataFrame) -
     history = e.select(F.explode(F.concat(sort_keys(F.col("job_id"), F.col("number"), plain_link(F.col("url")), F.col("fp")), by_fp)).alias("key"), "entity_id").groupBy("key").agg(F.min("entity_id").alias("holder"))
     history = cut(history)
     store = RunStore(spark)
-    store.plan(history, history.count())
-    store.append(history, BASE)
+    n = history.count()
+    store.plan(history, n)
+    store.append(history, n, BASE)
     inbox = f"{store.path}/inbox"  # one folder per batch, so a batch reads itself alone
     arrivals.repartition("rank", F.pmod(F.hash("id"), F.lit(8))).write.partitionBy("rank").parquet(inbox)
     batches = spark.read.schema("id string, keys array<string>, rank int").parquet(inbox)
-    found = []
-    for row in batches.groupBy("rank").count().orderBy("rank").collect():  # one row per batch
-        found.append(ingest(store, batches.where(F.col("rank") == row["rank"])).where("holder is not null"))
-    if not found:
+    found = f"{store.path}/found"
+    ranks = [r["rank"] for r in batches.select("rank").distinct().orderBy("rank").collect()]  # one row per batch
+    if not ranks:
         return spark.createDataFrame([], "id_a string, id_b string")
-    return reduce(DataFrame.unionByName, found).select(F.least("id", "holder").alias("id_a"), F.greatest("id", "holder").alias("id_b"))
+    for rank in ranks:  # each batch's result is a table of its own, so no plan grows with their number
+        got = ingest(store, batches.where(F.col("rank") == rank)).where("holder is not null")
+        got.select(F.least("id", "holder").alias("id_a"), F.greatest("id", "holder").alias("id_b")).coalesce(4).write.parquet(f"{found}/batch={rank}")
+    return spark.read.schema("id_a string, id_b string, batch int").parquet(found).select("id_a", "id_b")

@@ -171,7 +171,7 @@ def test_runs_are_divided_and_compacted(spark, monkeypatch):
     old = spark.range(50).selectExpr("concat('n|', id) as key", "concat('h', id) as holder")
     store.plan(old, 50)
     assert 1 < len(store.bounds) < 6
-    store.append(old, incremental.BASE)
+    store.append(old, 50, incremental.BASE)
     for k in range(18):
         if k == 9:  # another session goes on where this one ended
             store = incremental.RunStore(spark, store.path)
@@ -190,7 +190,7 @@ def test_merged_runs_are_sorted(spark):
 
     store = incremental.RunStore(spark)
     for i in range(4):
-        store.append(spark.range(i * 3000, i * 3000 + 3000).repartition(8).selectExpr("concat('n|', hash(id)) as key", "'h' as holder"))
+        store.append(spark.range(i * 3000, i * 3000 + 3000).repartition(8).selectExpr("concat('n|', hash(id)) as key", "'h' as holder"), 3000)
         store.compact()
     files = [f for r in store.runs for f in glob.glob(f"{r['path'].removeprefix('file://')}/range=*/*.parquet")]
     keys = [pq.read_table(f, columns=["key"]).column(0).to_pylist() for f in files]
@@ -201,7 +201,7 @@ def test_neighbours_of_links_and_reading_by_row_groups(spark, monkeypatch):
     monkeypatch.setattr(incremental, "GROUP_BYTES", 2000)
     store = incremental.RunStore(spark)
     old = spark.range(20_000).selectExpr("concat('n|j|', lpad(id * 7, 9, '0')) as key", "concat('h', id) as holder").unionByName(spark.createDataFrame([("u|j|e.test/the-old-mill-house", "hm")], "key string, holder string"))
-    store.append(old, incremental.BASE)
+    store.append(old, 20_001, incremental.BASE)
     new = spark.createDataFrame([("n|j|000000070", 0, "a"), ("n|j|000000071", 0, "b"), ("u|j|e.test/the-old-mil-house", 0, "c"), ("u|j|e.test/quite-another-house", 0, "d"), ("u|j|e.test/quite-anothar-house", 1, "e")], "key string, rank int, id string").selectExpr("key", "struct(rank, id) as first")
     got = {r.key: r for r in store.windows(new).collect()}
     assert got["n|j|000000070"].holder == "h10" and got["n|j|000000070"].exact and got["n|j|000000071"].holder is None

@@ -199,13 +199,13 @@ def block_of(types: list[str]) -> Column:
     return F.get(F.filter("page.json_ld", lambda b: F.arrays_overlap(kinds(b), F.array(*map(F.lit, types)))), 0)
 
 
-def as_record(pages: DataFrame, types: list[str], external: list[str], extra: dict[str, str], confidence: tuple[float, float], required: list[str]) -> DataFrame:
+def as_record(pages: DataFrame, types: list[str], external: list[str], extra: dict[str, str | tuple[str, ...]], confidence: tuple[float, float], required: list[str]) -> DataFrame:
     """Adds ``record``: block fields first, the page's own where the block has none."""
     b = block_of(types)
     j = lambda path: F.get_json_object(b, path)
     name = first_filled(j("$.name"), F.col("page.name"), F.col("page.title"))
     missing = {"name": name, "address": F.col("page.address")}
-    fields = F.map_filter(F.create_map(*(x for k, path in extra.items() for x in (F.lit(k), j(path)))), lambda _k, v: v.isNotNull()) if extra else F.create_map().cast("map<string,string>")
+    fields = F.map_filter(F.create_map(*(x for k, path in extra.items() for x in (F.lit(k), text_of(b, *path) if isinstance(path, tuple) else j(path)))), lambda _k, v: v.isNotNull()) if extra else F.create_map().cast("map<string,string>")
     record = F.struct(
         name.alias("name"), F.lit(types[0]).alias("entity_type"), F.col("page.canonical_url").alias("canonical_url"), F.lit(None).cast("string").alias("domain"), F.col("page.address").alias("address"),
         first_filled(j("$.telephone"), F.col("page.telephone")).alias("telephone"), (first_filled(*(j(f"$.{k}") for k in external)) if external else F.lit(None).cast("string")).alias("external_id"),
@@ -220,9 +220,60 @@ def generic(pages: DataFrame) -> DataFrame:
     return as_record(pages, ["Thing"], [], {}, (0.6, 0.6), ["name"])
 
 
+def layer_fields() -> Column:
+    """The page's data layer as one map: later items win; nested values are JSON text."""
+    empty = F.create_map().cast("map<string,string>")
+    return F.aggregate("page.data_layer", empty, lambda acc, x: F.map_concat(F.map_filter(acc, lambda k, _v: ~F.map_contains_key(F.coalesce(F.from_json(x, "map<string,string>"), empty), k)), F.coalesce(F.from_json(x, "map<string,string>"), empty)))
+
+
+def text_of(b: Column, *paths: str) -> Column:
+    """The first of the paths that holds text or a number, not an object or list."""
+    plain = lambda c: F.when(~F.ltrim(c).rlike(r"^[\[{]"), c)
+    return first_filled(*(plain(F.get_json_object(b, p)) for p in paths))
+
+
+def list_of(b: Column, path: str) -> Column:
+    """A list of texts, a single text as a list of one; null where there is neither."""
+    v = F.get_json_object(b, path)
+    return F.when(F.ltrim(v).startswith("["), F.filter(F.from_json(v, "array<string>"), lambda x: x.isNotNull())).when((v != "") & ~F.ltrim(v).startswith("{"), F.array(v))
+
+
+# Keys of trade numbers in order of preference, and what an external id is taken from after them.
+GTIN_KEYS = ("gtin13", "gtin14", "gtin12", "gtin8", "gtin")
+MOST_FIELD_IMAGES = 5
+
+
 @adapter("product")
 def product(pages: DataFrame) -> DataFrame:
-    return as_record(pages, ["Product"], ["gtin13", "gtin14", "gtin12", "gtin8", "gtin", "mpn", "sku"], {"brand": "$.brand.name", "category": "$.category", "price": "$.offers.price", "currency": "$.offers.priceCurrency", "image": "$.image"}, (0.75, 0.5), ["name"])
+    return as_record(pages, ["Product"], ["gtin13", "gtin14", "gtin12", "gtin8", "gtin", "mpn", "sku"], {"brand": ("$.brand.name", "$.brand"), "category": ("$.category",), "price": ("$.offers.price", "$.offers[0].price"), "currency": ("$.offers.priceCurrency", "$.offers[0].priceCurrency"), "image": "$.image"}, (0.75, 0.5), ["name"])
+
+
+@adapter("catalogue_product")
+def catalogue_product(pages: DataFrame) -> DataFrame:
+    """Adds ``record`` of a product page; a page without a Product block is a skip.
+
+    The block comes first; the data layer only fills what it leaves empty.
+    """
+    b, dl = block_of(["Product"]), F.col("_layer")
+    d = lambda k: F.element_at(dl, k)
+    gtin = text_of(b, *(f"$.{k}" for k in GTIN_KEYS))
+    name = first_filled(text_of(b, "$.name"), F.col("page.name"), F.col("page.title"))
+    images = F.coalesce(list_of(b, "$.image"), F.when(d("image_url") != "", F.array(d("image_url"))), F.slice("page.image_urls", 1, MOST_FIELD_IMAGES))
+    named = {
+        "brand": first_filled(text_of(b, "$.brand.name", "$.brand"), d("item_brand")), "manufacturer": text_of(b, "$.manufacturer.name", "$.manufacturer"), "category": first_filled(text_of(b, "$.category"), d("item_category2"), d("item_category")), "category_l1": d("item_category"), "category_l2": d("item_category2"),
+        "scale": text_of(b, "$.size"), "sku": text_of(b, "$.sku"), "mpn": text_of(b, "$.mpn"), "gtin": gtin, "product_master_code": d("product_master_code"), "item_id": d("item_id"),
+        "price": first_filled(text_of(b, "$.offers.price", "$.offers[0].price"), d("price")), "currency": text_of(b, "$.offers.priceCurrency", "$.offers[0].priceCurrency"), "availability": text_of(b, "$.offers.availability", "$.offers[0].availability"),
+        "release_date": text_of(b, "$.releaseDate"), "reservation_deadline": d("reservation_deadline"), "image_urls": F.to_json(F.slice(images, 1, MOST_FIELD_IMAGES)),
+    }
+    fields = F.map_filter(F.create_map(*(x for k, v in named.items() for x in (F.lit(k), v))), lambda _k, v: v.isNotNull())
+    skip, null = b.isNull(), F.lit(None).cast("string")
+    external = first_filled(gtin, text_of(b, "$.mpn"), text_of(b, "$.sku"), d("product_master_code"), d("item_id"))
+    record = F.struct(
+        F.when(~skip, name).alias("name"), F.lit("Product").alias("entity_type"), F.col("page.canonical_url").alias("canonical_url"), null.alias("domain"), null.alias("address"), null.alias("telephone"), F.when(~skip, external).alias("external_id"),
+        F.when(skip, 0.0).otherwise(0.8).alias("confidence"), F.when(skip, F.create_map().cast("map<string,string>")).otherwise(fields).alias("fields"), F.when(~skip & name.isNull(), F.array(F.lit("name"))).otherwise(F.array().cast("array<string>")).alias("missing_required"),
+        skip.alias("skip"), F.when(skip, "no Product block").alias("skip_reason"),
+    )
+    return pages.withColumn("_layer", layer_fields()).withColumn("record", record).drop("_layer")
 
 
 @adapter("local_business")
@@ -232,7 +283,24 @@ def local_business(pages: DataFrame) -> DataFrame:
 
 @adapter("person")
 def person(pages: DataFrame) -> DataFrame:
-    return as_record(pages, ["Person"], [], {"job_title": "$.jobTitle", "affiliation": "$.affiliation.name"}, (0.75, 0.5), ["name"])
+    out = as_record(pages, ["Person"], [], {"job_title": "$.jobTitle", "affiliation": "$.affiliation.name"}, (0.75, 0.5), ["name"])
+    social = F.coalesce(list_of(block_of(["Person"]), "$.sameAs"), F.col("page.social_urls"))
+    return out.withColumn("record", F.col("record").withField("fields", F.map_concat("record.fields", F.when(F.size(social) > 0, F.create_map(F.lit("social_urls"), F.to_json(social))).otherwise(F.create_map().cast("map<string,string>")))))
+
+
+def records_of(pages: DataFrame, adapters: dict[str, str], kind: str = "collector_type", body: str = "content", base: str = "url", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(``keep``, record) of fetched pages by their collector's type: one record for each page, none to many for each answer of an API.
+
+    ``adapters`` says which adapter a type has; ``api`` needs none, other types are left out.
+    """
+    frames = [get_adapter(a)(extract_pages(pages.where(F.col(kind) == t), body, base, keep)).select(*keep, "record") for t, a in adapters.items()]
+    null = F.lit(None).cast("string")
+    items = api_records(pages.where(F.col(kind) == "api"), body)
+    lacking = F.array_compact(F.array(F.when(F.col("name").isNull(), F.lit("name")), F.when(F.col("external_id").isNull(), F.lit("external_id"))))
+    api = items.select(*keep, F.struct(F.col("name"), F.lit("item").alias("entity_type"), F.col("fields")["url"].alias("canonical_url"), null.alias("domain"), null.alias("address"), null.alias("telephone"), F.col("external_id"), F.lit(0.8).alias("confidence"), F.col("fields"), lacking.alias("missing_required"), F.lit(False).alias("skip"), null.alias("skip_reason")).alias("record"))
+    for f in frames:
+        api = api.unionByName(f)
+    return api
 
 
 def api_records(df: DataFrame, body: str = "content", items_path: str | None = None) -> DataFrame:

@@ -88,3 +88,23 @@ def test_fetch_routes(spark):
     rows = [("ok", True, False, 200, None, 1, 3), ("same", True, False, 304, None, 1, 3), ("robot", True, True, 200, "CAPTCHA seen", 1, 3), ("forbidden", False, True, 403, None, 1, 3), ("again", False, False, 500, None, 2, 3), ("dead", False, False, None, None, 3, 3)]
     got = {r.id: (r.queue_status, r.review_reason, r.errors, r.reviews, r.extract) for r in L.fetch_routes(spark.createDataFrame(rows, cols)).collect()}
     assert got == {"ok": ("done", None, 0, 0, True), "same": ("done", None, 0, 0, False), "robot": ("skipped", "captcha", 1, 1, False), "forbidden": ("skipped", "blocked", 1, 1, False), "again": ("queued", None, 1, 0, False), "dead": ("failed", "parse_failure", 1, 1, False)}
+
+
+PRODUCT = """<html><head><title>t</title><script type="application/ld+json">{"@type": "Product", "name": "Kit &amp; Box", "sku": "S1", "brand": "Maker", "offers": [{"price": 12.5, "priceCurrency": "EUR"}], "image": "https://e.test/a.jpg"}</script>
+<script>dataLayer.push({"ecommerce": {"items": [{"item_id": "I1", "price": "99", "item_category": "toys"}]}, "reservation_deadline": "soon"}); dataLayer.push({"item_category": "models"});</script></head><body><h1>H</h1></body></html>"""
+
+
+def test_product_pages(spark):
+    from gleanery.operators import extract as E
+
+    whole = PRODUCT.replace('"sku": "S1"', '"sku": "S1", "gtin13": "4900000000001"').replace('"brand": "Maker"', '"brand": {"name": "Maker"}').replace('[{"price": 12.5, "priceCurrency": "EUR"}]', '{"priceCurrency": "EUR"}').replace('"https://e.test/a.jpg"', "[" + ", ".join(f'"{k}.jpg"' for k in range(7)) + "]")
+    pages = spark.createDataFrame([(1, PRODUCT, "https://e.test/1", "shop"), (2, whole, "https://e.test/2", "shop"), (3, "<h1>List</h1>", "https://e.test/3", "shop"), (4, None, "https://e.test/4", "shop"), (5, '{"items": [{"id": 7, "name": "x", "url": "https://e.test/x", "price": 3}, {"name": "y"}]}', "https://e.test/api", "api"), (6, "{broken", "https://e.test/api", "api"), (7, "<h1>a</h1>", "https://e.test/7", "no such type")], "page_id int, content string, url string, collector_type string")
+    rows = {}
+    for r in E.records_of(pages, {"shop": "catalogue_product"}, keep=("page_id",)).collect():
+        rows.setdefault(r.page_id, []).append(r.record)
+    a, b = rows[1][0], rows[2][0]
+    assert (a.name, a.external_id, a.confidence, a.skip) == ("Kit & Box", "S1", 0.8, False)
+    assert {k: a.fields.get(k) for k in ("brand", "price", "currency", "category", "item_id", "reservation_deadline", "image_urls")} == {"brand": "Maker", "price": "12.5", "currency": "EUR", "category": "models", "item_id": "I1", "reservation_deadline": "soon", "image_urls": '["https://e.test/a.jpg"]'}
+    assert (b.external_id, b.fields["brand"], b.fields["price"]) == ("4900000000001", "Maker", "99") and b.fields["image_urls"].count(".jpg") == 5
+    assert all(rows[k][0].skip and rows[k][0].skip_reason == "no Product block" and not rows[k][0].fields for k in (3, 4))
+    assert sorted((r.name, r.external_id, tuple(r.missing_required)) for r in rows[5]) == [("x", "7", ()), ("y", None, ("external_id",))] and 6 not in rows and 7 not in rows

@@ -30,10 +30,6 @@ def outcome(status: Column, content_type: Column, body: Column) -> Column:
     )
 
 
-def is_blocked(outcome_: Column) -> Column:
-    return outcome_.isin("forbidden", "blocked_page")
-
-
 def changed(df: DataFrame, key: str = "url", order: str = "fetched_at", body: str = "content") -> DataFrame:
     """Adds ``body_hash`` and ``is_changed``: false where the previous fetch of the key had the same body."""
     w = Window.partitionBy(key).orderBy(order, "fetch_id")

@@ -374,4 +374,6 @@ def queue_stream(spark, d):
     events = spark.readStream.schema(schema).parquet(f"{where}/in").select("job_id", "url", F.col("fetch_id").alias("seq"), "ok", "blocked", "retry_after")
     stream = track_queue(events).writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{where}/out/batch={n}")).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     stream.awaitTermination()
-    return spark.read.parquet(f"{where}/out").select("job_id", "url", "status", "attempts")
+    # A batch returns the keys it touched; the last batch of a key has its state.
+    last = spark.read.parquet(f"{where}/out").groupBy("job_id", "url").agg(F.max_by(F.struct("status", "attempts"), "batch").alias("x"))
+    return last.select("job_id", "url", "x.status", "x.attempts")

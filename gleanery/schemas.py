@@ -1,4 +1,4 @@
-"""Schemas of the engine's tables, and the values their enumerations take."""
+"""Schemas shared by producers of links and by the page reader."""
 
 from __future__ import annotations
 
@@ -11,12 +11,5 @@ def _struct(**fields: str) -> T.StructType:
 
 _SIMPLE = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "date": T.DateType(), "strings": T.ArrayType(T.StringType()), "map": T.MapType(T.StringType(), T.StringType())}
 
-RECORD = _struct(name="string", entity_type="string", canonical_url="string", domain="string", address="string", telephone="string", external_id="string", confidence="double", fields="map", missing_required="strings", skip="boolean", skip_reason="string")
 DISCOVERED = _struct(job_id="string", url="string", method="string", lastmod="string", confidence="double", stable_id="string")
 PAGE = _struct(title="string", canonical_url="string", meta_description="string", json_ld="strings", data_layer="strings", name="string", address="string", telephone="string", links="strings", social_urls="strings", image_urls="strings")
-ENTITY = _struct(entity_id="string", job_id="string", entity_type="string", name="string", normalized_name="string", canonical_url="string", domain="string", address="string", telephone="string", external_id="string", fingerprint="string", data_json="string", created_at="timestamp", updated_at="timestamp", deleted_at="timestamp")
-EVIDENCE = _struct(entity_id="string", field="string", value="string", source_url="string", fetched_at="timestamp", confidence="double")
-QUEUE_ITEM = _struct(job_id="string", url="string", domain="string", priority="int", status="string", attempt_count="int", max_attempts="int", next_retry_at="timestamp", fetched_at="timestamp")
-
-QUEUE_STATUS = ("queued", "fetching", "done", "failed", "skipped")
-CANDIDATE_STATUS = ("new", "accepted", "rejected", "duplicate", "review")

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Most links taken from one site's sitemaps, and how deep index files may nest.
+from ..operators.resolve import first_of
+
+#: Most links a job takes from sitemaps, and how deep index files may nest.
 MOST_LINKS, DEPTH = 5000, 3
 _CHARSET = re.compile(rb"<meta[^>]+charset=[\"']?\s*([A-Za-z0-9_-]+)", re.I)
 
@@ -27,15 +29,18 @@ def sitemap_entries(df: DataFrame, body: str = "content") -> DataFrame:
     return part("url", False).unionByName(part("sitemap", True)).where("loc != ''")
 
 
-def sitemap_links(roots: DataFrame, bodies: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(job_id, url, lastmod) reached from ``roots`` (job_id, url) through ``bodies`` (url, content); index files up to ``depth``."""
+def sitemap_links(roots: DataFrame, bodies: DataFrame, depth: int = DEPTH, most: int = MOST_LINKS) -> DataFrame:
+    """(job_id, url, lastmod) reached from ``roots`` (job_id, url) through ``bodies`` (url, content); index files up to ``depth``.
+
+    A job takes ``most`` links, the first by address; that is a limit on what is fetched.
+    """
     level, out = roots.select("job_id", "url"), None
     for _ in range(depth + 1):
         entries = sitemap_entries(level.join(bodies, "url").select("job_id", "content"))
         found = entries.where("not is_index").select("job_id", F.col("loc").alias("url"), "lastmod")
         out = found if out is None else out.unionByName(found)
         level = entries.where("is_index").select("job_id", F.col("loc").alias("url")).distinct()
-    return out.dropDuplicates(["job_id", "url"])
+    return first_of(out.dropDuplicates(["job_id", "url"]), ["job_id"], ["url"], most)
 
 
 def robots_sitemaps(df: DataFrame, body: str = "content") -> DataFrame:

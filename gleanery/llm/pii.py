@@ -350,12 +350,12 @@ def _addresses(text: str) -> Iterator[tuple[int, int, str, str]]:
         a = n.start()
         while a and text[a - 1] in "0123456789" and n.start() - a < 4:
             a -= 1
+        if n.start() - a > 3 or a and ((c := text[a - 1]).isalnum() or c in "_.,/-"):
+            continue
         m = _NUMBER_FIRST.match(text, a)
         if not m:
             continue
         b = m.end()
-        if n.start() - a > 3 or a and ((c := text[a - 1]).isalnum() or c in "_.,/-"):
-            continue
         form = "form=bare" if m["bare"] else "form=fr" if m["fr"] or _FR_WORD.search(m[0]) else "form=en"
         tail = m["en"] or m["fr"] or ""
         form += " tail" if tail else ""
@@ -497,6 +497,27 @@ def best_set(spans: list[tuple[int, int, float, object]]) -> list[object]:
     return out[::-1]
 
 
+def best_names(spans: list[tuple[int, int, float]], n: int) -> list[tuple[int, int]]:
+    """``best_set`` for segments of a run of n words, given by start and end, that all score over 0."""
+    best, back, at = [0.0] * (n + 1), [-1] * (n + 1), 0
+    for i, j, s in [*spans, (n, n, 0.0)]:
+        while at < i:
+            at += 1
+            if best[at] <= best[at - 1]:
+                best[at], back[at] = best[at - 1], -1
+        s += best[i]
+        if s > best[j]:
+            best[j], back[j] = s, i
+    out = []
+    while n:
+        if back[n] >= 0:
+            out.append((back[n], n))
+            n = back[n]
+        else:
+            n -= 1
+    return out[::-1]
+
+
 def name_spans(tokens: list[str]) -> list[tuple[int, int]]:
     """Segments of a run that may be a name: they end in a capitalised word, and no word of them holds a digit."""
     n = len(tokens)
@@ -555,31 +576,43 @@ def stretches(text: str, found: list[tuple]) -> Iterator[tuple[list[tuple[int, i
         yield [x[:2] for x in own if x[2] is None], [x[2] for x in own if x[2] is not None]
 
 
-_START = itemgetter(1)
-#: Marks and blanks that divide a run into words.
-_CUTS = frozenset(" \t\n\r\x0b\x0c\x85\xa0\u2003\u2009\u202f\u3000.,")
+def words_of(run: str) -> list[str]:
+    """The words of a run, as _TOKEN finds them."""
+    if run.isalpha():
+        return [run]
+    return run.split(" ") if run.replace(" ", "").isalpha() and "  " not in run else _TOKEN.findall(run)
 
 
+def cuts_of(run: str, words: list[str], at: int = 0) -> list[tuple[int, int]]:
+    """Places of the words of a run that begins at ``at``."""
+    out, e = [], 0
+    for w in words:
+        s = run.index(w, e)
+        e = s + len(w)
+        out.append((at + s, at + e))
+    return out
+
+
+_START = itemgetter(1)
 _NOTHING = [""]
 _UNKNOWN = (math.inf, math.inf)
 #: Words that may lead a name; the articles do so only after another particle.
-_LEADS = _PART_WORDS - {"der", "den", "dem"}
-_TWO_LEADS = tuple(f"{a}{b}{w} " for a in ("von", "van") for b in (" ", "\n", "  ", "\xa0") for w in ("der", "den", "dem"))
+_LEAD_ARTICLES = {"der", "den", "dem"}
+_LEADS = _PART_WORDS - _LEAD_ARTICLES
 #: Marks the bounds of runs of several words.
 MULTI = 1e6
 
 
 class Kept(dict):
-    """A bounded memo of a function of short texts; a KeyError of the function means infinity, not kept."""
+    """A bounded memo of a function of short texts; None means infinity and is not kept."""
 
     def __init__(self, f: Callable[[str], object]):
         super().__init__()
         self.f = f
 
     def __missing__(self, text: str) -> object:
-        try:
-            got = self.f(text)
-        except KeyError:
+        got = self.f(text)
+        if got is None:
             return math.inf
         if len(self) >= MEMO:
             self.clear()
@@ -590,13 +623,14 @@ class Kept(dict):
 
 class Decoder:
     def __init__(self, w: dict[str, float]):
-        self.w = w
+        # In binary fractions, so that sums are exact and no order of adding decides.
+        self.w = w = {f: round(v * 2**20) / 2**20 for f, v in w.items()}
         self.memo, self.tokens, self.item_scores, self.met = {}, {}, {}, set()
         self.bounds, self.befores, self.afters = Kept(self.bound), Kept(self.word_before), Kept(self.word_after)
         # The weights of names again, by what they look up.
         self.bias, self.cap_before, self.cap_after = (w.get(f, 0.0) for f in ("N", "N:capbefore", "N:capafter"))
-        self.by_shape, self.left, self.left2, self.right = {}, {}, {}, {}
-        self.shape_left, self.left_right = defaultdict(dict), defaultdict(dict)
+        self.by_shape, self.left, self.right = {}, {}, {}
+        self.left2, self.shape_left, self.left_right = defaultdict(dict), defaultdict(dict), defaultdict(dict)
         for f, v in w.items():
             kind, _, x = f.partition("=")
             if kind == "N:s":
@@ -612,21 +646,28 @@ class Decoder:
                 else:
                     self.left[l1] = v
             elif kind == "N:ll":
-                self.left2[tuple(x.split(" ", 1))] = v
+                l2, l1 = x.split(" ", 1)
+                self.left2[l1][l2] = v
             elif kind == "N:r":
                 self.right[x] = v
         # The most a name can gain from the word l1 before it, whatever stands farther left and to its right.
-        self.most2: dict[str, float] = defaultdict(float)
-        for (_, l1), v in self.left2.items():
-            self.most2[l1] = max(self.most2[l1], v)
-        self.most_plain = {l1: self.left.get(l1, 0.0) + max(0.0, self.most2.get(l1, 0.0)) + max(0.0, *self.left_right.get(l1, {}).values(), 0.0) + self.shape_left.get(l1, {}).get("C", 0.0) for l1 in {*self.left, *self.most2, *self.left_right, *self.shape_left}}
-        self.most_any = {l1: self.left.get(l1, 0.0) + max(0.0, self.most2.get(l1, 0.0)) + max(0.0, *self.left_right.get(l1, {}).values(), 0.0) + max(0.0, *self.shape_left.get(l1, {}).values(), 0.0) for l1 in {*self.left, *self.most2, *self.left_right, *self.shape_left}}
-
-    def token(self, word: str) -> tuple[str, str, float, bool]:
-        """(normal form, shape, score, whether it may stand in a name) of a word of a run."""
-        shape = shape_of([word])
+        most = lambda of: {l1: max(0.0, *x.values()) for l1, x in of.items()}
+        self.most2, self.most_right, most_shape = most(self.left2), most(self.left_right), most(self.shape_left)
+        every = {*self.left, *self.most2, *self.most_right, *most_shape}
+        self.most_any = {l1: self.left.get(l1, 0.0) + self.most2.get(l1, 0.0) + self.most_right.get(l1, 0.0) + most_shape.get(l1, 0.0) for l1 in every}
+        self.most_plain = {l1: v - most_shape.get(l1, 0.0) + self.shape_left.get(l1, {}).get("C", 0.0) for l1, v in self.most_any.items()}
+
+    def token(self, word: str) -> tuple:
+        """What names look up about a word of a run.
+
+        Normal form, shape, score, whether it may stand in a name; then what a name
+        gains beside it: the start after it, the same by the word before, by the
+        name's shape and by the word after the name, the end before it.
+        """
+        shape, w = shape_of([word]), _norm(word)
         score = sum(self.w.get(f, 0.0) for f in word_features(word)) if shape in "CU" else 0.0
-        got = _norm(word), shape, score, shape in "PI" or word.isalpha() or not any(map(str.isdigit, word))
+        start = self.bias + self.left.get(w, 0.0) + (self.cap_before if shape != "P" else 0.0)
+        got = w, shape, score, shape in "PI" or word.isalpha() or not any(map(str.isdigit, word)), start, self.left2.get(w), self.shape_left.get(w), self.left_right.get(w), self.right.get(w, 0.0) + self.cap_after
         if len(self.tokens) >= MEMO:
             self.tokens.clear()
         if len(word) < MEMO_CHARS:
@@ -635,18 +676,51 @@ class Decoder:
 
     def names(self, words: list[str], before: tuple[str, str], after: str, least: float = 0.0) -> list[tuple[int, int, float]]:
         """(i, j, score) of the segments of a run that score over ``least``; scores are those of ``name_features``."""
-        tokens, by_shape, right = self.tokens, self.by_shape, self.right
+        tokens, by_shape = self.tokens, self.by_shape
         own = [tokens.get(t) or self.token(t) for t in words]
         n, out = len(own), []
         l2, l1 = before
+        first, seconds, shapes, rights = self.bias + self.left.get(l1, 0.0), self.left2.get(l1), self.shape_left.get(l1), self.left_right.get(l1)
+        last = self.right.get(after, 0.0)
+        if 0 < n < 3 and own[0][1] == "C" == own[-1][1] and own[0][3] and own[-1][3]:  # the usual run, written out
+            one = by_shape.get("C", 0.0)
+            if seconds:
+                first += seconds.get(l2, 0.0)
+            a, b = own[0], own[-1]
+            first += a[2]
+            plain = shapes.get("C", 0.0) + one if shapes else one
+            if n == 1:
+                total = first + plain + last
+                if rights:
+                    total += rights.get(after, 0.0)
+                return [(0, 1, total)] if total > least else out
+            total = first + plain + b[8]
+            both = first + b[2] + by_shape.get("CC", 0.0) + last
+            if rights:
+                total += rights.get(b[0], 0.0)
+                both += rights.get(after, 0.0)
+            if shapes:
+                both += shapes.get("CC", 0.0)
+            if total > least:
+                out.append((0, 1, total))
+            if both > least:
+                out.append((0, 2, both))
+            _, _, _, _, total, seconds, shapes, rights, _ = a
+            total += b[2] + one + last
+            if seconds:
+                total += seconds.get(l1, 0.0)
+            if shapes:
+                total += shapes.get("C", 0.0)
+            if rights:
+                total += rights.get(after, 0.0)
+            if total > least:
+                out.append((1, 2, total))
+            return out
         for i in range(n):
-            start = self.bias + self.left.get(l1, 0.0) + self.left2.get((l2, l1), 0.0)
-            if i and own[i - 1][1] != "P":
-                start += self.cap_before
-            shapes, rights = self.shape_left.get(l1), self.left_right.get(l1)
+            start = first + seconds.get(l2, 0.0) if seconds else first
             shape, count = "", 0
             for j in range(i, n):
-                _, c, score, fit_ = own[j]
+                _, c, score, fit_, _, _, _, _, _ = own[j]
                 if not fit_:
                     break
                 shape += c
@@ -658,38 +732,46 @@ class Decoder:
                 if c == "I":
                     continue
                 start += score
-                r1 = after if j + 1 == n else own[j + 1][0]
-                total = start + by_shape.get(shape, 0.0) + right.get(r1, 0.0)
+                if j + 1 < n:
+                    word = own[j + 1]
+                    total = start + by_shape.get(shape, 0.0) + word[8]
+                    if rights:
+                        total += rights.get(word[0], 0.0)
+                else:
+                    total = start + by_shape.get(shape, 0.0) + last
+                    if rights:
+                        total += rights.get(after, 0.0)
                 if shapes:
                     total += shapes.get(shape, 0.0)
-                if rights:
-                    total += rights.get(r1, 0.0)
-                if j + 1 < n:
-                    total += self.cap_after
                 if total > least:
                     out.append((i, j + 1, total))
-            l2, l1 = l1, own[i][0]
+            l2 = l1
+            l1, _, _, _, first, seconds, shapes, rights, _ = own[i]
         return out
 
-    def bound(self, run: str) -> float:
+    def bound(self, run: str) -> float | None:
         """The most a segment of a run scores, what stands around the run aside; MULTI more where the run is no plain word."""
-        if not any(c in _CUTS for c in run) and (len(run) < 2 or not run.isupper()):
-            _, _, score, fit_ = self.tokens.get(run) or self.token(run)
-            return score + self.bias + self.by_shape.get("C", 0.0) if fit_ else -math.inf
-        if len(self.met) >= MEMO:
-            self.met.clear()
-        if run not in self.met:  # worth its work where a run comes again
-            self.met.add(run)
-            raise KeyError
-        words = _TOKEN.findall(run)
-        second = max(0.0, self.most2.get((self.tokens.get(words[0]) or self.token(words[0]))[0], 0.0))
-        return MULTI + max((s + (second if i == 1 else 0.0) for i, _, s in self.names(words, ("\0", "\0"), "\0", -math.inf)), default=-math.inf)
+        if not run.isalpha():
+            if len(self.met) >= MEMO:
+                self.met.clear()
+            if run not in self.met:  # worth its work where a run comes again
+                self.met.add(run)
+                return None
+        words = words_of(run)
+        own = [self.tokens.get(t) or self.token(t) for t in words]
+        if len(own) == 1 and own[0][1] == "C":
+            return own[0][2] + self.bias + self.by_shape.get("C", 0.0) if own[0][3] else -math.inf
+        most2, most_right, n = self.most2, self.most_right, len(words)
+        # The word before the run may add to a name from the second word on, the word after it to a name at the end.
+        beside = lambda i, j: (most2.get(own[0][0], 0.0) if i == 1 else 0.0) + (most_right.get(own[i - 1][0], 0.0) if i and j == n else 0.0)
+        return MULTI + max((s + beside(i, j) for i, j, s in self.names(words, ("\0", "\0"), "\0", -math.inf)), default=-math.inf)
 
     def word_before(self, word: str) -> tuple[float, float]:
         """The most a plain word and any run can gain from the last blank-separated word before it."""
-        if not word or word in _LEADS:  # a particle may belong to the name
+        last = _WORDS.findall(word)[-1] if word else ""
+        if not last or last in _LEADS:  # a particle may belong to the name
             return _UNKNOWN
-        l1 = _first_one(_WORDS.findall(word)[-1])
+        l1 = _first_one(last)
         return self.most_plain.get(l1, 0.0), max(0.0, self.most_any.get(l1, 0.0))
 
     def word_after(self, word: str) -> float:
@@ -722,14 +804,15 @@ class Decoder:
         key = (own, before, after)
         got = self.memo.get(key)
         if got is None:
-            words = _TOKEN.findall(own)
+            words = words_of(own)
             spans = self.names(words, before, after)
+            if len(spans) > 1:
+                spans = best_names(spans, len(words))
             if spans:
-                cut = [t.span() for t in _TOKEN.finditer(own)]
-            if len(spans) < 2:
-                got = tuple((cut[i][0], cut[j - 1][1]) for i, j, _ in spans)
+                cut = cuts_of(own, words)
+                got = tuple([(cut[x[0]][0], cut[x[1] - 1][1]) for x in spans])
             else:
-                got = tuple(best_set([(i, j, s, (cut[i][0], cut[j - 1][1])) for i, j, s in spans]))
+                got = ()
             if len(own) < MEMO_CHARS:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
@@ -748,8 +831,8 @@ class Decoder:
         starts, ends = ends[0:-1:2], ends[1::2]
         # Most runs score under 0 whatever stands farther away from them.
         bounds, before, after = self.bounds, self.befores, self.afters
-        left = [before[(g.rsplit(None, 1) or _NOTHING)[-1]] if (c := g[-1:]) == " " and not g.endswith(_TWO_LEADS) or c == "\n" else _UNKNOWN if not c or c.isspace() or c.isalnum() or c in "_@\xad" else before[g.rsplit(None, 1)[-1]] for g in gaps[:-1]]
-        right = [after[(g.split(None, 1) or _NOTHING)[0]] for g in gaps[1:]]
+        left = [(_UNKNOWN if (w := (g.rsplit(None, 1) or _NOTHING)[-1]) in _LEAD_ARTICLES and g.rsplit(None, 2)[-2:-1] and g.rsplit(None, 2)[-2].endswith(("von", "van")) else before[w]) if (c := g[-1:]) == " " or c == "\n" else _UNKNOWN if not c or c.isspace() or c.isalnum() or c in "_@\xad" else before[g.rsplit(None, 1)[-1]] for g in gaps[:-1]]
+        right = [after[w[0]] if len(w := g.split(None, 1)) > 1 or w and not ((c := g[-1]).isalnum() or c in "_\xad") else math.inf for g in gaps[1:]]
         open_ = [s + x[0] + y > 0 if s < MULTI / 2 else s - MULTI + x[1] + (y if y > 0 else 0.0) > 0 for s, x, y in zip(map(bounds.__getitem__, runs_), left, right)]
         out: list[tuple[str, int, int]] = []
         groups = grouped(self.items(text))
@@ -770,10 +853,12 @@ class Decoder:
                 if open_[k]:
                     b = ends[k]
                     a = begin(text, starts[k], b)
-                    named = self.names(_TOKEN.findall(text, a, b), _left(text, a), _right(text, b)) if a >= 0 else ()
-                    if named:
-                        cut = [t.span() for t in _TOKEN.finditer(text, a, b)]
-                        spans += [(cut[i][0], cut[j - 1][1], s, ("name", cut[i][0], cut[j - 1][1])) for i, j, s in named]
+                    if a < 0:
+                        continue
+                    words = words_of(own := runs_[k] if a == starts[k] else text[a:b])
+                    if named := self.names(words, _left(text, a), _right(text, b)):
+                        cut = cuts_of(own, words, a)
+                        spans += [(x := cut[i][0], y := cut[j - 1][1], s, ("name", x, y)) for i, j, s in named]
             out += [x for x in (best_set(spans) if len(spans) > 1 else [spans[0][3]]) if x[0] in KINDS]
             open_[lo:hi] = [False] * (hi - lo)
             at += 1
@@ -786,7 +871,12 @@ class Decoder:
                 run = text[lead:b]
             gap, word = gaps[k], gaps[k + 1][:24].split(None, 1)
             near = (lead == a and len(gap) < 48 and _last_two(gap)) or _left(text, lead)
-            for x, y in self.run_alone(run, near, _first_one(word[0]) if len(word) > 1 else _right(text, b)):
+            after = _first_one(word[0]) if len(word) > 1 else _right(text, b)
+            if run.isalpha():  # one word
+                if self.names([run], near, after):
+                    out.append(("name", lead, b))
+                continue
+            for x, y in self.run_alone(run, near, after):
                 out.append(("name", lead + x, lead + y))
         out.sort(key=_START)
         return out
